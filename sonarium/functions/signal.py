@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sonarium.functions.binding import bind
 from sonarium.schemas import INT16_PEAK
 
 
@@ -12,11 +13,6 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once: a one-element transform binds it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def energy(samples: Column | str) -> Column:
     return F.aggregate(_col(samples), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
@@ -36,19 +32,19 @@ def peak(samples: Column | str) -> Column:
 
 def scale(samples: Column | str, factor: Column) -> Column:
     samples = _col(samples)
-    return _let(factor, lambda f: F.transform(samples, lambda x: x.cast("double") * f))
+    return bind(factor, lambda f: F.transform(samples, lambda x: x.cast("double") * f))
 
 
 def peak_renormalize(samples: Column | str, limit: float = INT16_PEAK) -> Column:
     """Scale the whole array down to ``limit`` only if its peak is beyond it."""
 
     def fit(values: Column) -> Column:
-        return _let(
+        return bind(
             peak(values),
             lambda top: F.when(top > limit, scale(values, F.lit(float(limit)) / top)).otherwise(values),
         )
 
-    return _let(_col(samples), fit)
+    return bind(_col(samples), fit)
 
 
 def circular_shift(samples: Column | str, k: Column) -> Column:
@@ -56,12 +52,12 @@ def circular_shift(samples: Column | str, k: Column) -> Column:
 
     def roll(values: Column) -> Column:
         n = F.size(values)
-        return _let(
+        return bind(
             F.pmod(k, n).cast("int"),
             lambda by: F.concat(F.slice(values, n - by + 1, by), F.slice(values, F.lit(1), n - by)),
         )
 
-    return _let(_col(samples), roll)
+    return bind(_col(samples), roll)
 
 
 def mix_at_snr(signal: Column | str, noise: Column | str, snr_db: Column) -> Column:
@@ -70,13 +66,13 @@ def mix_at_snr(signal: Column | str, noise: Column | str, snr_db: Column) -> Col
 
     def with_power(noise_power: Column) -> Column:
         factor = F.sqrt(sample_power(signal) / (noise_power * F.pow(F.lit(10.0), snr_db / F.lit(10.0))))
-        mixed = _let(
+        mixed = bind(
             factor, lambda f: F.zip_with(signal, noise, lambda s, x: s.cast("double") + f * x.cast("double"))
         )
         unchanged = F.transform(signal, lambda s: s.cast("double"))
         return F.when(noise_power == 0, unchanged).otherwise(peak_renormalize(mixed))
 
-    return _let(sample_power(noise), with_power)
+    return bind(sample_power(noise), with_power)
 
 
 def apply_gain(samples: Column | str, gain_db: Column) -> Column:
@@ -90,7 +86,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def correlation_at(window: Column, template: Column) -> Column:
     """Normalised correlation of one full-overlap alignment; 0 where a side is silent."""
-    return _let(
+    return bind(
         F.sqrt(energy(window) * energy(template)),
         lambda norm: F.when(norm > 1e-12, F.abs(dot(window, template)) / norm).otherwise(F.lit(0.0)),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sonarium.functions.binding import bind
+
 # ---- fixed values: shapes of a reference ---------------------------------------------------
 URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -19,38 +21,46 @@ def _scheme(uri: Column) -> Column:
     return F.lower(F.regexp_extract(uri, SCHEME, 1))
 
 
+def _from_http(host: Column, path: Column) -> Column:
+    def locate(labels: Column, segments: Column) -> Column:
+        virtual = (F.size(labels) > 2) & F.try_element_at(labels, F.lit(2)).startswith("s3")
+        # an empty path reads as "."
+        virtual_key = F.when(path == "", F.lit(".")).otherwise(F.array_join(segments, "/"))
+        bucket = F.when(virtual, labels[0]).otherwise(F.try_element_at(segments, F.lit(1)))
+        key = F.when(virtual, virtual_key).otherwise(
+            F.array_join(F.slice(segments, F.lit(2), F.greatest(F.size(segments), F.lit(1))), "/")
+        )
+        return F.when((bucket != "") & (key != ""), F.concat(F.lit("s3://"), bucket, F.lit("/"), key))
+
+    # drop ";params" of the last segment, empty segments and "."
+    segments = F.filter(F.split(F.regexp_replace(path, r";[^/]*$", ""), "/"), lambda s: (s != "") & (s != "."))
+    return bind(F.split(host, r"\."), lambda labels: bind(segments, lambda found: locate(labels, found)))
+
+
 def _direct(uri: Column) -> Column:
     """The s3 and http(s) shapes; NULL for anything else."""
-    host = F.regexp_extract(uri, URL_PARTS, 2)
-    path = F.regexp_extract(uri, URL_PARTS, 3)
-    from_s3 = F.when((host != "") & path.rlike("[^/]"), F.concat(F.lit("s3://"), host, path))
-
-    # http paths: drop ";params" of the last segment, empty and "." segments
-    clean = F.regexp_replace(path, r";[^/]*$", "")
-    segments = F.filter(F.split(clean, "/"), lambda s: (s != "") & (s != "."))
-    labels = F.split(host, r"\.")
-    virtual = (F.size(labels) > 2) & F.try_element_at(labels, F.lit(2)).startswith("s3")
-    virtual_key = F.when(clean == "", F.lit(".")).otherwise(F.array_join(segments, "/"))
-    bucket = F.when(virtual, F.element_at(labels, 1)).otherwise(
-        F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit(""))
-    )
-    key = F.when(virtual, virtual_key).otherwise(
-        F.array_join(F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), "/")
-    )
-    from_http = F.when((bucket != "") & (key != ""), F.concat(F.lit("s3://"), bucket, F.lit("/"), key))
 
-    scheme = _scheme(uri)
-    return F.when(scheme == "s3", from_s3).when(scheme.isin("http", "https"), from_http)
+    def by_scheme(scheme: Column, host: Column, path: Column) -> Column:
+        from_s3 = F.when((host != "") & path.rlike("[^/]"), F.concat(F.lit("s3://"), host, path))
+        return F.when(scheme == "s3", from_s3).when(scheme.isin("http", "https"), _from_http(host, path))
+
+    def part(number: int) -> Column:
+        return F.regexp_extract(uri, URL_PARTS, number)
+
+    return bind(
+        F.array(F.lower(part(1)), part(2), part(3)), lambda parts: by_scheme(parts[0], parts[1], parts[2])
+    )
 
 
 def _file_uri(uri: Column) -> Column:
     """The ``fileuri`` parameter of a resolver path: plain or strictly base64-encoded."""
+
+    def decode(value: Column) -> Column:
+        decoded = F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string"))
+        return F.when(value.startswith("s3://"), value).when((value != "") & value.rlike(STRICT_BASE64), decoded)
+
     raw = F.regexp_extract(F.regexp_extract(uri, QUERY, 1), FILE_URI_PARAM, 1)
-    value = F.coalesce(F.try_url_decode(raw), raw)
-    decoded = F.try_validate_utf8(F.try_to_binary(value, F.lit("base64")).cast("string"))
-    return F.when(value.startswith("s3://"), value).when(
-        (value != "") & value.rlike(STRICT_BASE64), decoded
-    )
+    return bind(raw, lambda value: bind(F.coalesce(F.try_url_decode(value), value), decode))
 
 
 def normalize_uri(uri: Column | str, mode: str = "fail") -> Column:
@@ -61,8 +71,12 @@ def normalize_uri(uri: Column | str, mode: str = "fail") -> Column:
     """
     uri = F.col(uri) if isinstance(uri, str) else uri
     text = F.ltrim(F.regexp_replace(uri, r"[\t\r\n]", ""))
-    known = _scheme(text).isin("s3", "http", "https")
-    result = F.when(known, _direct(text)).otherwise(_direct(_file_uri(text)))
+    result = bind(
+        text,
+        lambda t: bind(
+            F.when(_scheme(t).isin("s3", "http", "https"), t).otherwise(_file_uri(t)), _direct
+        ),
+    )
     if mode == "null":
         return result
     problem = F.concat(F.lit("unrecognised audio reference: "), F.coalesce(uri, F.lit("NULL")))

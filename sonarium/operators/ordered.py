@@ -157,13 +157,16 @@ def rolling_energy(df: DataFrame, keys: Sequence[str], order: str, value: str, n
     """Energy of the ``n`` values that start at each row; rows with a shorter tail give NULL."""
     width = max(width, n)
     spread = overlapping_segments(df, order, width, after=n - 1)
-    frame = _local(keys, [order]).rowsBetween(0, n - 1)
-    squares = F.col(value).cast("double") * F.col(value).cast("double")
-    full = F.count(value).over(frame) == n
+    ordered = _local(keys, [order])
+    square = F.col(value).cast("double") * F.col(value).cast("double")
+    # difference of running sums: the cost per row does not depend on n
+    running = spread.withColumn("_square", square).withColumn(
+        "_upto", F.sum("_square").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    )
     return (
-        spread.withColumn(name, F.when(full, F.sum(squares).over(frame)))
+        running.withColumn(name, F.lead("_upto", n - 1).over(ordered) - F.col("_upto") + F.col("_square"))
         .filter("_own")
-        .drop("_own", SEGMENT)
+        .drop("_own", "_square", "_upto", SEGMENT)
     )
 
 

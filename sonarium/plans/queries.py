@@ -463,7 +463,7 @@ def clip_assembly(spark: Spark, d: str) -> DataFrame:
 
 
 def throttle_warmup(spark: Spark, d: str) -> DataFrame:
-    """Drop ten events after every error (a stream reset), then keep every third."""
+    """Drop three events after every error (a stream reset), then keep every second."""
     rows = c.events(spark, d)
     ready = ordered.warm_up(rows, ["user_id"], ["start_ms", "event_id"], c.SEGMENT_MS, 3, F.col("event_type") == "error")
     return ordered.throttle(ready, 2, skipped=3).select("event_id", "user_id", "session", "position")

@@ -410,3 +410,18 @@ WITH {_STAMPED} SELECT a.user_id, a.event_id AS trigger_id, b.event_id FROM st a
   AND b.us BETWEEN a.us - {12 * HOUR * 1000} AND a.us + {24 * HOUR * 1000} WHERE a.event_type = 'purchase' AND a.value >= 100""",
     "stream_last_seen": "SELECT user_id, epoch_us(max(ts)) // 1000 AS last_seen FROM events GROUP BY user_id",
 }
+
+ORACLE |= {
+    "training_rows": """
+WITH e AS (SELECT vec_id, vec_id % 50 AS recording, label < 5 AS cls, embedding FROM embeddings),
+per AS (SELECT recording, cls, count(*) AS n FROM e GROUP BY ALL),
+grp AS (SELECT recording, sum(n)::BIGINT AS n, arg_max(cls, (n, cls)) AS cls FROM per GROUP BY recording),
+deal AS (SELECT recording, (row_number() OVER (ORDER BY cls, length(bin(n)), md5('42:' || recording)) - 1) % 5 AS fold FROM grp)
+SELECT vec_id, fold = 0 AS is_test, CASE WHEN cls THEN 'background' ELSE 'bell' END AS label, CASE WHEN cls THEN 0 ELSE 1 END AS target,
+       len(embedding)::INTEGER AS n_features, round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * i)), 5) AS checksum
+FROM (SELECT e.vec_id, e.recording, e.cls, e.embedding FROM e) JOIN (SELECT recording, fold FROM deal) USING (recording)""",
+}
+
+ORACLE |= {
+    "time_stretch": "SELECT vec_id, speed, round(64 / speed)::BIGINT AS frames FROM embeddings, (SELECT unnest([0.9::DOUBLE, 1.1::DOUBLE]) AS speed)",
+}

@@ -146,7 +146,7 @@ def cooldown(
         # at least one step ahead, so a cooldown of 0 still moves on
         return np.maximum(np.searchsorted(times, times + gap), np.arange(1, len(times) + 1))
 
-    def summarise(name, rows: pd.DataFrame) -> pd.DataFrame:
+    def summarise(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(rows[time].to_numpy())
         follow = next_allowed(times)
         last = times.copy()

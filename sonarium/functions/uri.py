@@ -8,48 +8,54 @@ from pyspark.sql import functions as F
 from sonarium.functions.binding import bind
 
 # ---- fixed values: shapes of a reference ---------------------------------------------------
-URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
-SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 QUERY = r"^[^?#]*\?([^#]*)"
 FILE_URI_PARAM = r"(?:^|&)fileuri=([^&]+)"
 STRICT_BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
-S3_URI = r"^(?i:s3)://([^/?#]+)(/[^?#]*[^/?#][^?#]*)"
+BREAKS = r"[\t\r\n]"
+LAST_PARAMS = r";[^/]*$"
+IDLE_SEGMENTS = r"/+(\./+)*(\.$)?"
 # --------------------------------------------------------------------------------------------
 
+# Plain string functions do the common work; regular expressions run only where a cheap test asks for them.
+
 
 def _scheme(uri: Column) -> Column:
-    return F.lower(F.regexp_extract(uri, SCHEME, 1))
+    return F.lower(F.substring_index(uri, "://", 1))
 
 
 def _from_http(host: Column, path: Column) -> Column:
-    def locate(labels: Column, segments: Column) -> Column:
-        virtual = (F.size(labels) > 2) & F.try_element_at(labels, F.lit(2)).startswith("s3")
-        # an empty path reads as "."
-        virtual_key = F.when(path == "", F.lit(".")).otherwise(F.array_join(segments, "/"))
-        bucket = F.when(virtual, labels[0]).otherwise(F.try_element_at(segments, F.lit(1)))
-        key = F.when(virtual, virtual_key).otherwise(
-            F.array_join(F.slice(segments, F.lit(2), F.greatest(F.size(segments), F.lit(1))), "/")
-        )
-        return F.when((bucket != "") & (key != ""), F.concat(F.lit("s3://"), bucket, F.lit("/"), key))
+    """Virtual-hosted URLs carry the bucket in the host, others in the first path segment."""
+
+    def locate(clean: Column) -> Column:
+        three_labels = F.substring_index(host, ".", 2) != host
+        virtual = three_labels & F.split_part(host, F.lit("."), F.lit(2)).startswith("s3")
+        key = F.when(path == "", F.lit(".")).otherwise(clean)  # an empty path reads as "."
+        bucket = F.substring_index(host, ".", 1)
+        return F.when(
+            virtual, F.when((bucket != "") & (key != ""), F.concat(F.lit("s3://"), bucket, F.lit("/"), key))
+        ).when(F.instr(clean, "/") > 0, F.concat(F.lit("s3://"), clean))
 
-    # drop ";params" of the last segment, empty segments and "."
-    segments = F.filter(F.split(F.regexp_replace(path, r";[^/]*$", ""), "/"), lambda s: (s != "") & (s != "."))
-    return bind(F.split(host, r"\."), lambda labels: bind(segments, lambda found: locate(labels, found)))
+    # drop ";params" of the last segment, then empty segments, "." segments and outer slashes
+    plain = F.when(path.contains(";"), F.regexp_replace(path, LAST_PARAMS, "")).otherwise(path)
+    idle = plain.contains("//") | plain.contains("/./") | plain.endswith("/.")
+    tidy = F.when(idle, F.regexp_replace(plain, IDLE_SEGMENTS, "/")).otherwise(plain)
+    return bind(F.btrim(tidy, F.lit("/")), locate)
 
 
 def _direct(uri: Column) -> Column:
     """The s3 and http(s) shapes; NULL for anything else."""
 
     def by_scheme(scheme: Column, host: Column, path: Column) -> Column:
-        from_s3 = F.when((host != "") & path.rlike("[^/]"), F.concat(F.lit("s3://"), host, path))
+        from_s3 = F.when((host != "") & (F.btrim(path, F.lit("/")) != ""), F.concat(F.lit("s3://"), host, path))
         return F.when(scheme == "s3", from_s3).when(scheme.isin("http", "https"), _from_http(host, path))
 
-    def part(number: int) -> Column:
-        return F.regexp_extract(uri, URL_PARTS, number)
+    def take_apart(address: Column) -> Column:
+        rest = F.substr(address, F.instr(address, "://") + 3)
+        host = F.substring_index(rest, "/", 1)
+        return F.array(_scheme(address), host, F.substr(rest, F.length(host) + 1))
 
-    return bind(
-        F.array(F.lower(part(1)), part(2), part(3)), lambda parts: by_scheme(parts[0], parts[1], parts[2])
-    )
+    address = F.substring_index(F.substring_index(uri, "#", 1), "?", 1)
+    return bind(bind(address, take_apart), lambda parts: by_scheme(parts[0], parts[1], parts[2]))
 
 
 def _file_uri(uri: Column) -> Column:
@@ -70,7 +76,7 @@ def normalize_uri(uri: Column | str, mode: str = "fail") -> Column:
     ``x.s3.lan/bucket/key`` are therefore read as bucket ``x``.
     """
     uri = F.col(uri) if isinstance(uri, str) else uri
-    text = F.ltrim(F.regexp_replace(uri, r"[\t\r\n]", ""))
+    text = F.ltrim(F.when(uri.rlike(BREAKS), F.translate(uri, "\t\r\n", "")).otherwise(uri))
     result = bind(
         text,
         lambda t: bind(
@@ -86,16 +92,19 @@ def normalize_uri(uri: Column | str, mode: str = "fail") -> Column:
 def file_name(uri: Column | str) -> Column:
     """Last path component of a canonical reference."""
     uri = F.col(uri) if isinstance(uri, str) else uri
-    path = F.regexp_replace(F.regexp_extract(uri, URL_PARTS, 3), r"/+$", "")
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(F.rtrim(uri, F.lit("/")), "/", -1)
 
 
 def split_uri(uri: Column | str, mode: str = "fail") -> Column:
     """``STRUCT<bucket, key>`` of a complete s3 reference."""
     uri = F.col(uri) if isinstance(uri, str) else uri
-    bucket = F.regexp_extract(uri, S3_URI, 1)
-    key = F.regexp_replace(F.regexp_extract(uri, S3_URI, 2), r"^/+", "")
-    parts = F.when(uri.rlike(S3_URI), F.struct(bucket.alias("bucket"), key.alias("key")))
+
+    def take_apart(canonical: Column) -> Column:
+        bucket = F.split_part(canonical, F.lit("/"), F.lit(3))
+        key = F.ltrim(F.substr(canonical, F.length(bucket) + 6), F.lit("/"))
+        return F.when(canonical.isNotNull(), F.struct(bucket.alias("bucket"), key.alias("key")))
+
+    parts = bind(F.when(_scheme(uri) == "s3", _direct(uri)), take_apart)
     if mode == "null":
         return parts
     problem = F.concat(F.lit("not a complete s3 reference: "), F.coalesce(uri, F.lit("NULL")))

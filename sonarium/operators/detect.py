@@ -134,63 +134,71 @@ def cooldown(
     The rule chains along the whole key, yet no task sees a whole key: each ``(key, segment)`` is
     summarised as the map "last accepted time before it -> last accepted time after it" (a step
     function), the maps are chained per key (one row per segment), and every segment is then replayed
-    from its known starting point. ``tie`` orders candidates of the same time. Candidates are rows that
-    already passed the score threshold.
+    from its known starting point. ``width`` bounds the segment, ``tie`` orders candidates of one time.
+    Candidates are rows that already passed the score threshold.
     """
-    width = max(width, cooldown_ms)
-    key_type = candidates.schema[key].dataType.simpleString()
-    segmented = with_segment(candidates, time, width)
-    gap = int(cooldown_ms)
+    width, gap = max(width, cooldown_ms), int(cooldown_ms)
+    columns = candidates.columns
+    segments = (
+        with_segment(candidates, time, width)
+        .groupBy(key, SEGMENT)
+        .agg(F.array_sort(F.collect_list(F.struct(time, tie, F.struct(*columns).alias("_row")))).alias("_rows"))
+        .withColumn("_times", F.transform("_rows", lambda r: r[time].cast("bigint")))
+    )
 
     def next_allowed(times: np.ndarray) -> np.ndarray:
         # at least one step ahead, so a cooldown of 0 still moves on
         return np.maximum(np.searchsorted(times, times + gap), np.arange(1, len(times) + 1))
 
-    def summarise(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(rows[time].to_numpy())
-        follow = next_allowed(times)
-        last = times.copy()
-        for i in range(len(times) - 1, -1, -1):
-            if follow[i] < len(times):
-                last[i] = last[follow[i]]
-        reach = min(len(times), int(np.searchsorted(times, name[1] * width + gap)) + 1)
-        entry, out = times[:reach], last[:reach]
-        step_end = np.append(out[1:] != out[:-1], True)
-        return pd.DataFrame(
-            {key: [name[0]], SEGMENT: [name[1]], "_entry": [entry[step_end].tolist()], "_exit": [out[step_end].tolist()]}
-        )
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        anchor, anchors = None, []
-        rows = rows.sort_values(SEGMENT)
-        for entries, exits in zip(rows["_entry"], rows["_exit"]):
-            anchors.append(anchor)
-            at = 0 if anchor is None else int(np.searchsorted(entries, anchor + gap))
-            if at < len(entries):
-                anchor = int(exits[at])
-        return rows[[key, SEGMENT]].assign(_anchor=pd.array(anchors, dtype="Int64"))
-
-    maps = segmented.select(key, SEGMENT, time).groupBy(key, SEGMENT).applyInPandas(
-        summarise, f"`{key}` {key_type}, {SEGMENT} bigint, _entry array<bigint>, _exit array<bigint>"
+    @F.pandas_udf("struct<entry: array<bigint>, exit: array<bigint>>")
+    def steps(times: pd.Series, segment: pd.Series) -> pd.DataFrame:
+        entries, exits = [], []
+        for line, number in zip(times, segment):
+            follow = next_allowed(line)
+            last = line.copy()
+            for i in range(len(line) - 1, -1, -1):
+                if follow[i] < len(line):
+                    last[i] = last[follow[i]]
+            reach = min(len(line), int(np.searchsorted(line, number * width + gap)) + 1)
+            ends = np.append(last[1:reach] != last[: reach - 1], True)
+            entries.append(line[:reach][ends])
+            exits.append(last[:reach][ends])
+        return pd.DataFrame({"entry": entries, "exit": exits})
+
+    @F.pandas_udf("array<int>")
+    def replay(times: pd.Series, anchor: pd.Series) -> pd.Series:
+        picked = []
+        for line, since in zip(times, anchor):
+            follow = next_allowed(line)
+            at, chosen = 0 if pd.isna(since) else int(np.searchsorted(line, int(since) + gap)), []
+            while at < len(line):
+                chosen.append(at)
+                at = int(follow[at])
+            picked.append(chosen)
+        return pd.Series(picked, dtype=object)
+
+    # the state that enters a segment: fold the maps of the key's earlier segments
+    def advance(state: Column, segment: Column) -> Column:
+        open_from = F.coalesce(state["anchor"] + F.lit(gap), segment["m"]["entry"][0])
+        later = F.size(F.filter(segment["m"]["entry"], lambda e: e >= open_from))
+        moved = F.when(later == 0, state["anchor"]).otherwise(F.element_at(segment["m"]["exit"], -later))
+        entry = F.struct(segment[SEGMENT].alias(SEGMENT), state["anchor"].alias("_anchor"))
+        return F.struct(moved.alias("anchor"), F.concat(state["seen"], F.array(entry)).alias("seen"))
+
+    maps = segments.select(key, SEGMENT, steps("_times", SEGMENT).alias("m"))
+    nothing = F.struct(
+        F.lit(None).cast("bigint").alias("anchor"),
+        F.array().cast(f"array<struct<{SEGMENT}: bigint, _anchor: bigint>>").alias("seen"),
     )
-    anchors = maps.groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, {SEGMENT} bigint, _anchor bigint")
-    columns = candidates.columns
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, tie])
-        times, anchor = rows[time].to_numpy(), rows["_anchor"].iloc[0]
-        follow = next_allowed(times)
-        at = 0 if pd.isna(anchor) else int(np.searchsorted(times, int(anchor) + gap))
-        accepted = []
-        while at < len(times):
-            accepted.append(at)
-            at = follow[at]
-        return rows.iloc[accepted][columns]
-
+    chained = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(SEGMENT, "m"))).alias("_maps"))
+    anchors = chained.select(
+        key, F.explode(F.aggregate("_maps", nothing, advance)["seen"]).alias("_s")
+    ).select(key, f"_s.{SEGMENT}", "_s._anchor")
+    accepted = segments.join(anchors, [key, SEGMENT]).withColumn("_picked", replay("_times", "_anchor"))
     return (
-        segmented.join(anchors, [key, SEGMENT])
-        .groupBy(key, SEGMENT)
-        .applyInPandas(replay, candidates.schema)
+        accepted.withColumn("_at", F.explode("_picked"))
+        .select(F.col("_rows")[F.col("_at")]["_row"].alias("_row"))
+        .select("_row.*")
     )
 
 

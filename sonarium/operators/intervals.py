@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonarium.functions.binding import bind
 from sonarium.functions.scalars import sample_offset, to_ms
 from sonarium.functions.uri import file_name, normalize_uri
 from sonarium.schemas import LABEL_JSON, NEGATIVE_LABEL
@@ -20,13 +21,19 @@ def explode_annotations(export: DataFrame, keep_order: bool = False) -> DataFram
     an empty ``labels`` list makes none; malformed JSON or missing keys are an error.
     """
     blank = F.coalesce(F.trim("label") == "", F.lit(True))
-    parsed = F.from_json("label", LABEL_JSON)
-    incomplete = F.exists(
-        parsed,
-        lambda a: a.isNull()
-        | a["labels"].isNull()
-        | ((F.size(a["labels"]) > 0) & (a["start"].isNull() | a["end"].isNull())),
-    )
+    problem = F.concat(F.lit("bad label JSON in annotation "), F.col("annotation_id").cast("string"))
+
+    def checked(parsed: Column) -> Column:
+        incomplete = F.exists(
+            parsed,
+            lambda a: a.isNull()
+            | a["labels"].isNull()
+            | ((F.size(a["labels"]) > 0) & (a["start"].isNull() | a["end"].isNull())),
+        )
+        return F.when(
+            F.coalesce(incomplete, F.lit(True)), F.raise_error(problem).cast(LABEL_JSON)
+        ).otherwise(parsed)
+
     whole_file = F.array(
         F.struct(
             F.lit(0.0).alias("start"),
@@ -35,15 +42,14 @@ def explode_annotations(export: DataFrame, keep_order: bool = False) -> DataFram
             F.lit(0).alias("channel"),
         )
     )
-    problem = F.concat(F.lit("bad label JSON in annotation "), F.col("annotation_id").cast("string"))
-    items = (
-        F.when(blank, whole_file)
-        .when(F.coalesce(incomplete, F.lit(True)), F.raise_error(problem).cast(LABEL_JSON))
-        .otherwise(parsed)
-    )
+    items = F.when(blank, whole_file).otherwise(bind(F.from_json("label", LABEL_JSON), checked))
+    # everything about the file is settled before its intervals multiply the row
     rows = (
         export.withColumn("remote_audio_path", normalize_uri("audio"))
-        .select("annotation_id", "id", "remote_audio_path", F.posexplode(items).alias("_item", "_interval"))
+        .withColumn("audio_file_name", file_name("remote_audio_path"))
+        .select(
+            "annotation_id", "id", "remote_audio_path", "audio_file_name", F.posexplode(items).alias("_item", "_interval")
+        )
         .select("*", F.posexplode("_interval.labels").alias("_pos", "_label"))
     )
     order = [F.col("_item").alias("interval_no"), F.col("_pos").alias("label_no")] if keep_order else []
@@ -53,7 +59,7 @@ def explode_annotations(export: DataFrame, keep_order: bool = False) -> DataFram
         F.col("_interval.start").alias("start"),
         F.col("_interval.end").alias("end"),
         F.col("_label").alias("label"),
-        file_name("remote_audio_path").alias("audio_file_name"),
+        "audio_file_name",
         "remote_audio_path",
         *order,
     )

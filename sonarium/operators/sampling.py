@@ -1,9 +1,9 @@
 """Exact, deterministic sampling, balancing and shuffling by key hash.
 
-"The n rows with the smallest digest" is found without sorting the rows: two histograms over digest
-prefixes (4,096 buckets each) narrow the cut down to a 1 / 16.7 million share of the rows, only that
-share is ranked, and the resulting cut-off (one row per stratum) is broadcast back as a plain filter.
-The sampled rows themselves are never shuffled.
+"The n rows with the smallest digest" is found without sorting or shuffling the rows: a histogram over
+digest prefixes (4,096 buckets) names the bucket in which a stratum reaches its quota, further digits
+split that bucket until few rows are left, and those are ranked. What comes back to the driver is one
+row per stratum; the sample itself is a plain filter ``digest <= cut-off`` over the input.
 """
 
 from __future__ import annotations
@@ -17,50 +17,67 @@ from sonarium.functions.keys import md5_key
 from sonarium.schemas import NEGATIVE_LABEL
 
 PREFIX = 3  # hex digits per histogram level
+RANKED_ROWS = 1_000_000  # a bucket is ranked once it holds no more rows than this
 
 
-def _boundary(counts: DataFrame, quota: DataFrame, stratum: str, prefix: str) -> DataFrame:
-    """The digest bucket in which each stratum reaches its quota, and the rows still needed there."""
-    upto = Window.partitionBy(stratum).orderBy(prefix)
-    return (
-        counts.join(F.broadcast(quota), stratum)
-        .withColumn("_cum", F.sum("_rows").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("_rows") < F.col("_quota")))
-        .select(stratum, prefix, (F.col("_quota") - F.col("_cum") + F.col("_rows")).alias("_need"))
+def _histogram(rows: DataFrame, digits: int) -> DataFrame:
+    return rows.groupBy("_stratum", F.substring("_digest", 1, digits).alias("_prefix")).agg(
+        F.count(F.lit(1)).alias("_rows")
     )
 
 
-def digest_cutoffs(rows: DataFrame, stratum: str, digest: str, quota: DataFrame,
-                   histogram: DataFrame | None = None) -> DataFrame:
-    """``(stratum, _cutoff)``: the ``_quota``-th smallest digest of each stratum.
+def _boundaries(counts: DataFrame, quota: Column) -> list:
+    """Per stratum the bucket in which its quota is reached and how many rows of it are needed.
 
-    ``quota`` holds one row per stratum (``stratum, _quota``). A quota beyond the stratum keeps all of it.
+    A stratum with quota 0 has no such bucket.
     """
-    slim = rows.select(stratum, digest)
-    first = F.substring(digest, 1, PREFIX)
-    if histogram is None:
-        histogram = slim.groupBy(stratum, first.alias("_p1")).agg(F.count(F.lit(1)).alias("_rows"))
-    available = histogram.groupBy(stratum).agg(F.sum("_rows").alias("_all"))
-    capped = available.join(F.broadcast(quota), stratum).select(
-        stratum, F.least("_quota", "_all").alias("_quota")
+    upto = Window.partitionBy("_stratum").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        counts.withColumn("_quota", quota)
+        .withColumn("_cum", F.sum("_rows").over(upto))
+        .filter((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("_rows") < F.col("_quota")))
     )
-    cut1 = _boundary(histogram, capped, stratum, "_p1")
+    return found.select("_stratum", "_prefix", "_rows", (F.col("_quota") - F.col("_cum") + F.col("_rows")).alias("_need")).collect()
 
-    inside = slim.withColumn("_p1", first).join(F.broadcast(cut1), [stratum, "_p1"])
-    refined = inside.groupBy(stratum, F.substring(digest, 1, 2 * PREFIX).alias("_p2")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    cut2 = _boundary(
-        refined, cut1.select(stratum, F.col("_need").alias("_quota")), stratum, "_p2"
-    )
 
-    last = slim.withColumn("_p2", F.substring(digest, 1, 2 * PREFIX)).join(F.broadcast(cut2), [stratum, "_p2"])
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(digest))
-    return (
-        last.withColumn("_rank", rank)
-        .filter(F.col("_rank") == F.col("_need"))
-        .select(stratum, F.col(digest).alias("_cutoff"))
-    )
+def _fixed(quotas: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(F.col("_stratum") == s, F.lit(n)) for s, n in quotas.items()])
+
+
+def _any(conditions: list[Column]) -> Column:
+    result = F.lit(False)
+    for condition in conditions:
+        result = result | condition
+    return result
+
+
+def digest_cutoffs(rows: DataFrame, quota: Column) -> dict[str, str]:
+    """The ``quota``-th smallest ``_digest`` of every ``_stratum``; a quota must not exceed its stratum.
+
+    ``quota`` is computed beside the first histogram (``_stratum, _prefix, _rows``), so it may use window
+    sums over it. One row per stratum reaches the driver at each step.
+    """
+    digits = PREFIX
+    marks = _boundaries(_histogram(rows, digits), quota)
+    if not marks:
+        return {}
+    while True:
+        inside = rows.filter(
+            _any([(F.col("_stratum") == m["_stratum"]) & F.col("_digest").startswith(m["_prefix"]) for m in marks])
+        ).select("_stratum", "_digest")
+        needs = {m["_stratum"]: m["_need"] for m in marks}
+        if max(m["_rows"] for m in marks) <= RANKED_ROWS or digits >= 30:
+            break
+        digits += PREFIX
+        marks = _boundaries(_histogram(inside, digits), _fixed(needs))
+    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_digest"))
+    wanted = _any([(F.col("_stratum") == s) & (F.col("_rank") == n) for s, n in needs.items()])
+    last = inside.withColumn("_rank", rank).filter(wanted).select("_stratum", "_digest").collect()
+    return {r["_stratum"]: r["_digest"] for r in last}
+
+
+def _below(cutoffs: dict[str, str]) -> Column:
+    return _any([(F.col("_stratum") == s) & (F.col("_digest") <= cut) for s, cut in cutoffs.items()])
 
 
 def sample_n(df: DataFrame, n: int, seed, keys: Sequence[str]) -> DataFrame:
@@ -69,16 +86,12 @@ def sample_n(df: DataFrame, n: int, seed, keys: Sequence[str]) -> DataFrame:
 
 
 def sample_n_per(df: DataFrame, stratum: Column, quotas: dict[str, int], seed, keys: Sequence[str]) -> DataFrame:
-    """Exactly ``quotas[s]`` rows of every named stratum."""
+    """Exactly ``quotas[s]`` rows of every named stratum (all, if it has fewer)."""
     rows = df.withColumn("_stratum", stratum).withColumn("_digest", md5_key(seed, *[F.col(k) for k in keys]))
-    spark = df.sparkSession
-    quota = spark.createDataFrame(list(quotas.items()), "_stratum string, _quota bigint")
-    cutoffs = digest_cutoffs(rows, "_stratum", "_digest", quota)
-    return (
-        rows.join(F.broadcast(cutoffs), "_stratum")
-        .filter(F.col("_digest") <= F.col("_cutoff"))
-        .drop("_stratum", "_digest", "_cutoff")
-    )
+    named = rows.filter(F.col("_stratum").isin(*quotas))
+    have = F.sum("_rows").over(Window.partitionBy("_stratum"))
+    cutoffs = digest_cutoffs(named, F.least(_fixed(quotas), have))
+    return rows.filter(_below(cutoffs)).drop("_stratum", "_digest")
 
 
 def split_draw(n_target: Column, external_ratio: Column, n_real: Column, n_external: Column) -> Column:
@@ -119,41 +132,20 @@ def balance(
         .otherwise("external")
     )
     rows = chunks.withColumn("_stratum", stratum).withColumn("_digest", md5_key(seed, *[F.col(k) for k in keys]))
-    histogram = (
-        rows.select("_stratum", F.substring("_digest", 1, PREFIX).alias("_p1"))
-        .groupBy("_stratum", "_p1")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    quota = draw_quota(histogram, ratio, external_ratio)
-    cutoffs = digest_cutoffs(rows, "_stratum", "_digest", quota, histogram)
-    return (
-        rows.join(F.broadcast(cutoffs), "_stratum", "left")
-        .filter((F.col("_stratum") == "positive") | (F.col("_digest") <= F.col("_cutoff")))
-        .drop("_stratum", "_digest", "_cutoff")
-    )
+    cutoffs = digest_cutoffs(rows, _draw_quota(ratio, external_ratio))
+    return rows.filter((F.col("_stratum") == "positive") | _below(cutoffs)).drop("_stratum", "_digest")
 
 
-def draw_quota(histogram: DataFrame, ratio: float, external_ratio: float) -> DataFrame:
-    """Two rows ``(_stratum, _quota)`` from the stratum counts."""
+def _draw_quota(ratio: float, external_ratio: float) -> Column:
+    """Quota of a histogram row's stratum, from totals over the (bounded) histogram."""
 
     def rows_of(name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("_stratum") == name, F.col("_rows"))), F.lit(0))
-
-    drawn = histogram.agg(
-        rows_of("positive").alias("pos"), rows_of("real").alias("real"), rows_of("external").alias("ext")
-    ).select(
-        split_draw(
-            (F.col("pos") * F.lit(float(ratio))).cast("bigint"), F.lit(float(external_ratio)), F.col("real"), F.col("ext")
-        ).alias("d")
-    )
-    return drawn.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("real").alias("_stratum"), F.col("d.n_real").alias("_quota")),
-                F.struct(F.lit("external").alias("_stratum"), F.col("d.n_external").alias("_quota")),
-            )
-        ).alias("q")
-    ).select("q._stratum", "q._quota")
+        mine = F.when(F.col("_stratum") == name, F.col("_rows"))
+        return F.coalesce(F.sum(mine).over(Window.partitionBy()), F.lit(0))
+
+    target = (rows_of("positive") * F.lit(float(ratio))).cast("bigint")
+    drawn = split_draw(target, F.lit(float(external_ratio)), rows_of("real"), rows_of("external"))
+    return F.when(F.col("_stratum") == "real", drawn["n_real"]).when(F.col("_stratum") == "external", drawn["n_external"])
 
 
 def background_shortfall(chunks: DataFrame, ratio: float = 1.0, label: str = "label",

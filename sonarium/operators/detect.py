@@ -15,6 +15,7 @@ from sonarium.functions.signal import correlation_at
 from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_energy, rolling_list, with_segment
 
 INT16_SCALE = 32768.0
+DAY_MS = 86_400_000
 
 
 def ncc_udf(template: Sequence[float]):
@@ -127,7 +128,7 @@ def energetic_window(df: DataFrame, samples: str, n: int) -> DataFrame:
 
 
 def cooldown(
-    candidates: DataFrame, key: str, time: str, cooldown_ms: int, tie: str, width: int = 30 * 86_400_000
+    candidates: DataFrame, key: str, time: str, cooldown_ms: int, tie: str, width: int = DAY_MS
 ) -> DataFrame:
     """Accept a candidate if at least ``cooldown_ms`` passed since the last *accepted* one.
 
@@ -135,7 +136,7 @@ def cooldown(
     summarised as the map "last accepted time before it -> last accepted time after it" (a step
     function), the maps are chained per key (one row per segment), and every segment is then replayed
     from its known starting point. ``width`` bounds the segment, ``tie`` orders candidates of one time.
-    Candidates are rows that already passed the score threshold.
+    Candidates are rows that already passed the score threshold; keep them narrow (ids, not samples).
     """
     width, gap = max(width, cooldown_ms), int(cooldown_ms)
     columns = candidates.columns
@@ -203,7 +204,7 @@ def cooldown(
 
 
 def detections(scored: DataFrame, key: str, time: str, tie: str, threshold: float, cooldown_ms: int,
-               inclusive: bool = True, score: str = "score", width: int = 30 * 86_400_000) -> DataFrame:
+               inclusive: bool = True, score: str = "score", width: int = DAY_MS) -> DataFrame:
     """Threshold, then cooldown. ``inclusive`` tells ``>=`` from ``>``."""
     passed = F.col(score) >= threshold if inclusive else F.col(score) > threshold
     return cooldown(scored.filter(passed), key, time, cooldown_ms, tie, width)

@@ -22,22 +22,22 @@ def count_per_label(df: DataFrame, label: str = "label") -> DataFrame:
 def quality_metrics(df: DataFrame, file: str = "file_id", label: str = "label") -> DataFrame:
     """Rows, distinct files, distinct labels (a missing value counts as one) and class imbalance.
 
-    Rows collapse to ``(file, label)`` counts once; everything else works on those.
+    One pass: rows collapse to ``(file, label)`` counts, each of which counts once towards its file and
+    once towards its label.
     """
     cells = df.groupBy(file, label).agg(F.count(F.lit(1)).alias("_n"))
-    labels = cells.groupBy(label).agg(F.sum("_n").alias("_n"))
-    per_label = labels.agg(
-        F.sum("_n").alias("total_samples"),
-        F.count(F.lit(1)).alias("total_labels"),
-        F.max(F.when(F.col(label).isNotNull(), F.col("_n"))).alias("_max"),
-        F.min(F.when(F.col(label).isNotNull(), F.col("_n"))).alias("_min"),
+    sides = F.array(
+        F.struct(F.lit("file").alias("side"), F.col(file).cast("string").alias("value")),
+        F.struct(F.lit("label").alias("side"), F.col(label).cast("string").alias("value")),
     )
-    files = cells.select(file).distinct().agg(F.count(F.lit(1)).alias("total_files"))
-    return per_label.select(
-        F.coalesce("total_samples", F.lit(0)).alias("total_samples"),
-        files.scalar().alias("total_files"),
-        "total_labels",
-        F.when(F.col("_min") > 0, F.col("_max") / F.col("_min")).alias("imbalance_ratio"),
+    margins = cells.select(F.explode(sides).alias("_s"), "_n").groupBy("_s.side", "_s.value").agg(F.sum("_n").alias("_n"))
+    on_label = F.col("side") == "label"
+    named = F.when(on_label & F.col("value").isNotNull(), F.col("_n"))
+    return margins.agg(
+        F.coalesce(F.sum(F.when(on_label, F.col("_n"))), F.lit(0)).alias("total_samples"),
+        F.count(F.when(~on_label, 1)).alias("total_files"),
+        F.count(F.when(on_label, 1)).alias("total_labels"),
+        (F.max(named) / F.min(named)).alias("imbalance_ratio"),
     )
 
 

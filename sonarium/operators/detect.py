@@ -178,6 +178,9 @@ def cooldown(
             picked.append(chosen)
         return pd.Series(picked, dtype=object)
 
+    # keeps the optimizer from adding a filter that runs the function a second time
+    replay = replay.asNondeterministic()
+
     # the state that enters a segment: fold the maps of the key's earlier segments
     def advance(state: Column, segment: Column) -> Column:
         open_from = F.coalesce(state["anchor"] + F.lit(gap), segment["m"]["entry"][0])

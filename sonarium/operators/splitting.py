@@ -9,6 +9,7 @@ from sonarium.functions.keys import md5_key
 from sonarium.operators.lookups import join_hot
 from sonarium.operators.sampling import rank_by_digest
 from sonarium.schemas import TEST_SIZE
+from sonarium.session import materialize
 
 
 def n_folds(test_size: float) -> int:
@@ -20,6 +21,8 @@ def group_folds(df: DataFrame, group: str, label: str, test_size: float = TEST_S
 
     A stratum is (most frequent class, power-of-two size band). Groups are ranked by stratum and key
     digest and dealt round robin, so every fold gets its share of each stratum, give or take one.
+
+    The rows are read once: the table of groups is written to the work folder and ranked from there.
     """
     per_class = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
     groups = per_class.groupBy(group).agg(
@@ -29,7 +32,7 @@ def group_folds(df: DataFrame, group: str, label: str, test_size: float = TEST_S
     stratified = groups.withColumn("_band", F.length(F.bin("group_rows"))).withColumn(
         "_digest", md5_key(seed, F.col(group))
     )
-    ranked = rank_by_digest(stratified, "_digest", "_rank", ["_class", "_band"])
+    ranked = rank_by_digest(materialize(stratified, "groups"), "_digest", "_rank", ["_class", "_band"])
     return ranked.select(
         group, "group_rows", F.pmod(F.col("_rank") - 1, F.lit(n_folds(test_size))).cast("int").alias("fold")
     )
@@ -38,7 +41,7 @@ def group_folds(df: DataFrame, group: str, label: str, test_size: float = TEST_S
 def group_split(df: DataFrame, group: str, label: str, test_size: float = TEST_SIZE, seed=42,
                 test_fold: int = 0) -> DataFrame:
     """Rows with ``fold`` and ``is_test``; all rows of a group share a side."""
-    folds = group_folds(df, group, label, test_size, seed)
+    folds = materialize(group_folds(df, group, label, test_size, seed), "folds")
     joined = join_hot(df, folds, group, "group_rows")
     return joined.drop("group_rows").withColumn("is_test", F.col("fold") == F.lit(test_fold))
 

@@ -177,11 +177,11 @@ SELECT count(*) AS total_samples, count(DISTINCT file_id) + max(CASE WHEN file_i
        round((SELECT max(n)::DOUBLE / min(n) FROM c), 9) AS imbalance_ratio FROM r""",
     "sync_plan": """
 WITH want AS (SELECT 'order_' || l_orderkey AS n, min('s3://raw/' || l_suppkey || '/' || l_orderkey) AS p FROM lineitem GROUP BY 1),
-have AS (SELECT DISTINCT 'order_' || o_orderkey AS n FROM orders)
+have AS (SELECT DISTINCT 'order_' || (o_orderkey * 2) AS n FROM orders)
 SELECT coalesce(want.n, have.n) AS audio_file_name, p AS remote_audio_path,
        CASE WHEN have.n IS NULL THEN 'fetch' WHEN want.n IS NULL THEN 'prune' ELSE 'keep' END AS action
 FROM want FULL OUTER JOIN have ON want.n = have.n""",
-    "name_difference": "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "name_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "distinct_first": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) = 1""",
@@ -425,3 +425,24 @@ FROM (SELECT e.vec_id, e.recording, e.cls, e.embedding FROM e) JOIN (SELECT reco
 ORACLE |= {
     "time_stretch": "SELECT vec_id, speed, round(64 / speed)::BIGINT AS frames FROM embeddings, (SELECT unnest([0.9::DOUBLE, 1.1::DOUBLE]) AS speed)",
 }
+
+# The detector row by row: one recursion step per chunk number, all users at once.
+ORACLE["stream_detect"] = f"""
+WITH RECURSIVE {EV},
+cum AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id
+          ORDER BY start_ms, (event_type = 'error') DESC, event_id ROWS UNBOUNDED PRECEDING) AS errors FROM ev),
+ch AS (SELECT user_id, event_id AS seq, start_ms AS ms, value / 490.02::DOUBLE AS score,
+              row_number() OVER w AS n, errors > coalesce(lag(errors) OVER w, 0) AS fired, min(event_id) OVER (PARTITION BY user_id) AS first_seq
+       FROM cum WHERE event_type <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY start_ms, event_id)),
+run AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS blind, NULL::BIGINT AS accepted, false AS pending, NULL::VARCHAR AS source FROM (SELECT DISTINCT user_id FROM ch)
+  UNION ALL
+  SELECT user_id, n, CASE WHEN source IS NULL THEN blind ELSE seq + 400 END, CASE WHEN source = 'given' THEN ms ELSE accepted END,
+         pending AND source IS DISTINCT FROM 'manual', source
+  FROM (SELECT ch.user_id, ch.n, ch.seq, ch.ms, run.blind, run.accepted, run.pending OR ch.fired AS pending,
+               CASE WHEN ch.seq <= run.blind THEN NULL WHEN run.pending OR ch.fired THEN 'manual'
+                    WHEN ch.score >= 0.1::DOUBLE AND (run.accepted IS NULL OR ch.ms - run.accepted >= {24 * HOUR}) THEN 'given' END AS source
+        FROM run JOIN ch ON ch.user_id = run.user_id AND ch.n = run.n + 1) step)
+SELECT user_id AS device_id, seq, ms AS ts_ms, CASE WHEN source = 'given' THEN score END AS score, source,
+       greatest(first_seq, seq - 199) AS clip_from, seq + 400 AS clip_to
+FROM run JOIN ch USING (user_id, n) WHERE source IS NOT NULL"""

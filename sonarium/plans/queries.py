@@ -134,20 +134,19 @@ def quality_metrics(spark: Spark, d: str) -> DataFrame:
 
 
 def sync_plan(spark: Spark, d: str) -> DataFrame:
+    """Orders of the line items are wanted; the doubled order numbers stand for the files at hand."""
     expected = c.table(spark, d, "lineitem").select(
         F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("audio_file_name"),
         F.concat(F.lit("s3://raw/"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_orderkey").cast("string")).alias("remote_audio_path"),
     )
     existing = c.table(spark, d, "orders").select(
-        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("audio_file_name")
+        F.concat(F.lit("order_"), (F.col("o_orderkey") * 2).cast("string")).alias("audio_file_name")
     )
     return lookups.sync_plan(expected, existing)
 
 
 def name_difference(spark: Spark, d: str) -> DataFrame:
-    left = c.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    right = c.table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
-    return lookups.difference(left, right, "id")
+    return lookups.difference(c.table(spark, d, "documents"), c.table(spark, d, "labels"), "doc_id")
 
 
 def distinct_first(spark: Spark, d: str) -> DataFrame:

@@ -99,7 +99,8 @@ class ChunkDetector(StatefulProcessor):
         last_seq, accepted, blind, first_seq, warm_left, counted, triggered = stored or (
             None, None, None, None, s.warm_up, 0, False,
         )
-        ring = [(int(r[0]), r[1]) for r in self.ring.get()]
+        keep_audio = s.scorer != "given"
+        ring = [(int(r[0]), r[1]) for r in self.ring.get()] if keep_audio else []
         found = []
         for row in batch.itertuples(index=False):
             if row.is_trigger:
@@ -115,7 +116,8 @@ class ChunkDetector(StatefulProcessor):
                 warm_left -= 1
                 continue
             first_seq = seq if first_seq is None else first_seq
-            ring = [c for c in ring if c[0] > seq - s.analysis_chunks] + [(seq, row.pcm)]
+            if keep_audio:
+                ring = [c for c in ring if c[0] > seq - s.analysis_chunks] + [(seq, row.pcm)]
             if blind is not None and seq <= blind:
                 continue
             source, score = None, None
@@ -137,7 +139,7 @@ class ChunkDetector(StatefulProcessor):
                 blind = high if s.save else blind
                 found.append((key[0], seq, now, score, source, low, high))
         self.position.update((last_seq, accepted, blind, first_seq, warm_left, counted, triggered))
-        if s.scorer != "given":
+        if keep_audio:
             self.ring.put(ring) if ring else self.ring.clear()
         frame = pd.DataFrame(found, columns=["device_id", "seq", "ts_ms", "score", "source", "clip_from", "clip_to"])
         yield frame.astype({"seq": "int64", "ts_ms": "int64", "score": "float64", "clip_from": "Int64", "clip_to": "Int64"})

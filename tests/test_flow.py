@@ -91,3 +91,9 @@ def test_train_and_stream(spark, table, tmp_path):
     wide = chunks.withColumn("pcm", F.concat("pcm", F.lit(b"\0" * 1024).cast("binary")))
     with pytest.raises(Exception, match="model expects 806 features, got 819"):
         scoring.score_chunks(wide, fitted).collect()
+
+
+def test_written_tables_go_to_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    kept = materialize(spark.range(3), "kept")
+    assert kept.count() == 3 and shared in kept.inputFiles()[0]

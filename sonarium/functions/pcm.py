@@ -20,7 +20,6 @@ MEL_BREAK_HZ = 1000.0
 MEL_LOG_STEP = np.log(6.4) / 27.0
 DELTA_WIDTH = 9
 ROLLOFF_SHARE = 0.85
-FADE_SECONDS = 0.005
 KAISER_BETA = 5.0
 FILTER_LOBES = 10
 # ---------------------------------------------------------------------------------------------
@@ -195,34 +194,36 @@ def spectral_shape(samples: np.ndarray, rate: int, n_fft: int, hop: int) -> np.n
     return np.vstack([centroid, bandwidth, rolloff])
 
 
+def correlation_peaks(windows: list[np.ndarray], template: np.ndarray, block: int = 64) -> np.ndarray:
+    """Largest absolute normalised correlation of every window over full-overlap lags; 0.0 for silence.
+
+    Windows of one length are transformed together, ``block`` rows at a time.
+    """
+    template = np.asarray(template, dtype=np.float64)
+    m, own = len(template), float(np.square(template).sum())
+    scores = np.zeros(len(windows))
+    lengths = np.array([len(w) for w in windows])
+    if own == 0.0:
+        return scores
+    for length in np.unique(lengths[lengths >= m]):
+        size = 1 << int(length + m - 1).bit_length()
+        reference = np.conj(np.fft.rfft(template, size))
+        members = np.flatnonzero(lengths == length)
+        for begin in range(0, len(members), block):
+            rows = members[begin : begin + block]
+            audio = np.stack([windows[r] for r in rows]).astype(np.float64)
+            lags = np.fft.irfft(np.fft.rfft(audio, size, axis=1) * reference, size, axis=1)[:, : length - m + 1]
+            power = np.square(audio).cumsum(axis=1)
+            energy = power[:, m - 1 :].copy()
+            energy[:, 1:] -= power[:, :-m]
+            # squared scores, with the 1e-12 silence limit squared as well
+            ratio = np.divide(np.square(lags), energy * own, out=np.zeros_like(lags), where=energy * own > 1e-24)
+            scores[rows] = np.sqrt(ratio.max(axis=1))
+    return scores
+
+
 def correlation_peak(audio: np.ndarray, template: np.ndarray) -> float:
-    """Largest absolute normalised correlation over full-overlap lags, 0.0 for silence."""
-    n, m = len(audio), len(template)
-    audio, template = np.asarray(audio, dtype=np.float64), np.asarray(template, dtype=np.float64)
-    own = float(template @ template)
-    if own == 0.0 or n < m:
-        return 0.0
-    size = 1 << int(n + m - 1).bit_length()
-    product = np.fft.irfft(np.fft.rfft(audio, size) * np.conj(np.fft.rfft(template, size)), size)[: n - m + 1]
-    running = np.concatenate([[0.0], np.cumsum(audio * audio)])
-    scale = np.sqrt(np.maximum(running[m:] - running[:-m], 0.0) * own)
-    usable = scale > 1e-12
-    return float((np.abs(product[usable]) / scale[usable]).max()) if usable.any() else 0.0
-
-
-def energetic_window(template: np.ndarray, n: int) -> tuple[np.ndarray, int, int]:
-    """Most energetic ``n`` samples (first on ties) with faded edges; shorter input passes through."""
-    if len(template) <= n:
-        return template, 0, len(template)
-    running = np.concatenate([[0.0], np.cumsum(np.asarray(template, dtype=np.float64) ** 2)])
-    start = int((running[n:] - running[:-n]).argmax())
-    window = np.array(template[start : start + n], dtype=np.float32)
-    fade = min(int(FADE_SECONDS * SAMPLE_RATE), n // 10)
-    if fade > 1:
-        ramp = np.linspace(0.0, 1.0, fade, dtype=np.float32)
-        window[:fade] *= ramp
-        window[-fade:] *= ramp[::-1]
-    return window, start, start + n
+    return float(correlation_peaks([np.asarray(audio)], template)[0])
 
 
 def mix(signal: np.ndarray, noise: np.ndarray, snr_db: float, gain_db: float) -> np.ndarray:

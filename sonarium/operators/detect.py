@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 from sonarium.functions import pcm as kernels
 from sonarium.functions.signal import correlation_at
 from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_energy, rolling_list, with_segment
+from sonarium.schemas import SAMPLE_RATE
 
 INT16_SCALE = 32768.0
 DAY_MS = 86_400_000
+FADE_SECONDS = 0.005
 
 
 def ncc_udf(template: Sequence[float]):
@@ -24,7 +26,7 @@ def ncc_udf(template: Sequence[float]):
 
     @F.pandas_udf(T.DoubleType())
     def score(buffers: pd.Series) -> pd.Series:
-        return buffers.map(lambda b: kernels.correlation_peak(kernels.decode(b) / INT16_SCALE, reference))
+        return pd.Series(kernels.correlation_peaks([kernels.decode(b) / INT16_SCALE for b in buffers], reference))
 
     return score
 
@@ -102,26 +104,32 @@ def energetic_series(df: DataFrame, key: str, order: str, value: str, n: int, wi
     )
 
 
-def energetic_window(df: DataFrame, samples: str, n: int) -> DataFrame:
-    """Template trim of every row's sample array, with faded edges: ``window, start, stop``."""
-    kept = [f for f in df.schema.fields if f.name != samples]
-    schema = T.StructType(
-        kept
-        + [
-            T.StructField("window", T.ArrayType(T.FloatType())),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("stop", T.IntegerType()),
-        ]
-    )
-
-    def trim(batches):
-        for batch in batches:
-            cut = [kernels.energetic_window(np.asarray(s, dtype=np.float32), n) for s in batch[samples]]
-            out = batch.drop(columns=[samples])
-            out["window"], out["start"], out["stop"] = [c[0] for c in cut], [c[1] for c in cut], [c[2] for c in cut]
-            yield out
+def energetic_window(df: DataFrame, key: str, samples: str, n: int) -> DataFrame:
+    """Template trim: ``key, window, start, stop`` of every row's sample array.
 
-    return df.mapInPandas(trim, schema)
+    Arrays of at most ``n`` samples pass through; longer ones are laid out as rows, their most energetic
+    run is found by :func:`energetic_series`, and its edges are faded.
+    """
+    long = F.size(samples) > n
+    laid_out = df.filter(long).select(key, F.posexplode(samples).alias("_pos", "_x")).withColumn(
+        "_seq", (F.col("_pos") + 1).cast("bigint")
+    )
+    best = energetic_series(laid_out, key, "_seq", "_x", n).select(key, "start", "stop")
+    fade = min(int(FADE_SECONDS * SAMPLE_RATE), n // 10)
+    cut = F.slice(F.col(samples), (F.col("start") + 1).cast("int"), F.lit(n))
+    if fade > 1:
+
+        def level(i: Column) -> Column:
+            edge = F.least(i, F.lit(n - 1) - i)
+            return F.least(edge / F.lit(fade - 1), F.lit(1.0))
+
+        cut = F.transform(cut, lambda x, i: x * level(i))
+    whole = df.filter(~long).select(
+        key, F.col(samples).cast("array<float>").alias("window"), F.lit(0).cast("bigint").alias("start"),
+        F.size(samples).cast("bigint").alias("stop"),
+    )
+    trimmed = df.join(best, key).select(key, cut.cast("array<float>").alias("window"), "start", "stop")
+    return whole.unionByName(trimmed)
 
 
 # ------------------------------------------------------------------------------------ cooldown

@@ -35,6 +35,10 @@ def test_correlation_equals_plain_sums():
     audio, template = rng.normal(size=300), rng.normal(size=40)
     best = max(abs(audio[i : i + 40] @ template) / np.sqrt((audio[i : i + 40] ** 2).sum() * (template**2).sum()) for i in range(261))
     assert kernels.correlation_peak(audio, template) == pytest.approx(best)
+    mixed = [audio[:100], audio, audio[:10], audio * 0, *[rng.normal(size=100) for _ in range(70)]]
+    together = kernels.correlation_peaks(mixed, template)
+    assert np.allclose(together, [kernels.correlation_peak(x, template) for x in mixed])
+    assert together[2] == together[3] == 0.0
 
 
 def test_energetic_window(spark):
@@ -42,12 +46,14 @@ def test_energetic_window(spark):
     burst[16000:20000] = 1.0
     rows = [(0, np.ones(4000)), (1, np.ones(8000)), (2, burst), (3, np.ones(160000))]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "id int, samples array<double>")
-    got = {r.id: r for r in detect.energetic_window(df.filter("id < 2"), "samples", 8000).collect()}
+    got = {r.id: r for r in detect.energetic_window(df.filter("id < 2"), "id", "samples", 8000).collect()}
     assert [(got[i].start, got[i].stop, len(got[i].window)) for i in (0, 1)] == [(0, 4000, 4000), (0, 8000, 8000)]
-    row = detect.energetic_window(df.filter("id = 2"), "samples", 4000).first()
+    row = detect.energetic_window(df.filter("id = 2"), "id", "samples", 4000).first()
     assert (row.start, row.stop, len(row.window)) == (16000, 20000, 4000)
-    row = detect.energetic_window(df.filter("id = 3"), "samples", 8000).first()
-    assert row.stop - row.start == 8000 and row.window[0] == 0.0 and row.window[1] < row.window[40]
+    row = detect.energetic_window(df.filter("id = 3"), "id", "samples", 8000).first()
+    assert row.stop - row.start == 8000 and len(row.window) == 8000
+    ramp = np.linspace(0, 1, 80, dtype=np.float32)
+    assert np.allclose(row.window[:80], ramp) and np.allclose(row.window[-80:], ramp[::-1]) and set(row.window[80:-80]) == {1.0}
 
 
 def test_udf_scores(spark):

@@ -16,7 +16,7 @@ from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_en
 from sonarium.schemas import SAMPLE_RATE
 
 INT16_SCALE = 32768.0
-DAY_MS = 86_400_000
+SEGMENT_MS = 6 * 3_600_000
 FADE_SECONDS = 0.005
 
 
@@ -136,28 +136,31 @@ def energetic_window(df: DataFrame, key: str, samples: str, n: int) -> DataFrame
 
 
 def cooldown(
-    candidates: DataFrame, key: str, time: str, cooldown_ms: int, tie: str, width: int = DAY_MS
+    candidates: DataFrame, key: str, time: str, cooldown_ms: int, tie: str, width: int = SEGMENT_MS
 ) -> DataFrame:
     """Accept a candidate if at least ``cooldown_ms`` passed since the last *accepted* one.
 
     The rule chains along the whole key, yet no task sees a whole key: each ``(key, segment)`` is
     summarised as the map "last accepted time before it -> last accepted time after it" (a step
     function), the maps are chained per key (one row per segment), and every segment is then replayed
-    from its known starting point. ``width`` bounds the segment, ``tie`` orders candidates of one time.
-    Candidates are rows that already passed the score threshold; keep them narrow (ids, not samples).
+    from its known starting point. Of candidates at one time only the first by ``tie`` can be accepted,
+    so the others go first (combined before the shuffle) and a segment never holds more than ``width``
+    rows, however hot its key. Candidates already passed the score threshold; keep them narrow (ids, not
+    samples).
     """
-    width, gap = max(width, cooldown_ms), int(cooldown_ms)
-    columns = candidates.columns
+    if cooldown_ms <= 0:
+        return candidates
+    gap, columns = int(cooldown_ms), candidates.columns
+    firsts = candidates.groupBy(key, time).agg(F.min_by(F.struct(*columns), tie).alias("_row"))
     segments = (
-        with_segment(candidates, time, width)
+        with_segment(firsts, time, width)
         .groupBy(key, SEGMENT)
-        .agg(F.array_sort(F.collect_list(F.struct(time, tie, F.struct(*columns).alias("_row")))).alias("_rows"))
-        .withColumn("_times", F.transform("_rows", lambda r: r[time].cast("bigint")))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("bigint").alias("t"), "_row"))).alias("_rows"))
+        .withColumn("_times", F.transform("_rows", lambda r: r["t"]))
     )
 
     def next_allowed(times: np.ndarray) -> np.ndarray:
-        # at least one step ahead, so a cooldown of 0 still moves on
-        return np.maximum(np.searchsorted(times, times + gap), np.arange(1, len(times) + 1))
+        return np.searchsorted(times, times + gap)
 
     @F.pandas_udf("struct<entry: array<bigint>, exit: array<bigint>>")
     def steps(times: pd.Series, segment: pd.Series) -> pd.DataFrame:
@@ -215,7 +218,7 @@ def cooldown(
 
 
 def detections(scored: DataFrame, key: str, time: str, tie: str, threshold: float, cooldown_ms: int,
-               inclusive: bool = True, score: str = "score", width: int = DAY_MS) -> DataFrame:
+               inclusive: bool = True, score: str = "score", width: int = SEGMENT_MS) -> DataFrame:
     """Threshold, then cooldown. ``inclusive`` tells ``>=`` from ``>``."""
     passed = F.col(score) >= threshold if inclusive else F.col(score) > threshold
     return cooldown(scored.filter(passed), key, time, cooldown_ms, tie, width)

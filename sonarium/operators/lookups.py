@@ -52,9 +52,12 @@ def resolve_first(names: DataFrame, name: str, sources: Sequence[tuple[DataFrame
 
 
 def attach_duration(annotations: DataFrame, info: DataFrame, name: str = "audio_file_name",
-                    mode: str = "fail") -> DataFrame:
-    """Add ``audio_file_duration`` by file name and fill open ends with it; a missing file is an error."""
-    durations = info.select(F.col(name), F.col("duration_s").alias("audio_file_duration"))
+                    mode: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
+    """Add ``audio_file_duration`` by file name and fill open ends with it; a missing file is an error.
+
+    ``keep`` names further info columns to carry along.
+    """
+    durations = info.select(F.col(name), F.col("duration_s").alias("audio_file_duration"), *keep)
     joined = annotations.join(durations, name, "left")
     if mode == "fail":
         missing = F.raise_error(F.concat(F.lit("no audio for "), F.col(name))).cast("double")

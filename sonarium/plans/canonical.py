@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonarium.operators.intervals import slide_windows
 from sonarium.operators.ordered import with_next, with_ordinal
+from sonarium.session import materialize
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -60,6 +61,13 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows over a written copy of the intervals, for operators that pass over them repeatedly."""
+    return slide_windows(materialize(intervals(spark, sf_dir), "intervals"), WINDOW, STRIDE).select(
+        "event_id", "user_id", "label", "noise_pool", "chunk_start", "chunk_end"
+    )
+
+
 def signals(spark: SparkSession, sf_dir: str, rate: int = 1000, gain: float = 20000.0) -> DataFrame:
     """Embeddings as short recordings: ``vec_id, path, label, noise_pool, rate, frames, samples``."""
     return table(spark, sf_dir, "embeddings").select(

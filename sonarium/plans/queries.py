@@ -193,7 +193,7 @@ def split_draw(spark: Spark, d: str) -> DataFrame:
 
 
 def balance(spark: Spark, d: str) -> DataFrame:
-    return sampling.balance(c.windows(spark, d), ["event_id", "chunk_start"]).select(
+    return sampling.balance(c.stored_windows(spark, d), ["event_id", "chunk_start"]).select(
         "event_id", "label", "noise_pool", "chunk_start"
     )
 

@@ -1,4 +1,4 @@
-"""The batch flow from annotations to the balanced training table, as one lazy composition."""
+"""The batch flow from annotations to the balanced training table, as one composition."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sonarium import schemas
 from sonarium.functions.scalars import fill_missing
 from sonarium.operators import features, intervals, lookups, sampling
+from sonarium.session import materialize
 from sonarium.sources.audio import scan_audio
 
 
@@ -47,9 +48,10 @@ def chunk_table(annotations: DataFrame, info: DataFrame, settings: TrainingSetti
     if "noise_pool" not in annotations.columns:
         annotations = annotations.withColumn("noise_pool", F.lit(None).cast("string"))
     grouped = fill_missing(annotations, "split_group", "audio_file_name")
-    filled = lookups.attach_duration(grouped, info)
-    sized = filled.join(info.select("audio_file_name", "rate", "frames"), "audio_file_name")
-    windows = intervals.index_windows(intervals.with_bounds(sized), settings.window_ms, settings.stride_ms)
+    sized = lookups.attach_duration(grouped, info, keep=("rate", "frames"))
+    # windows are derived several times while balancing; the joined intervals only once
+    bounded = materialize(intervals.with_bounds(sized), "intervals")
+    windows = intervals.index_windows(bounded, settings.window_ms, settings.stride_ms)
     return windows.withColumn("chunk_end", F.col("chunk_start") + settings.window_ms).drop(
         "start_ms", "end_ms", "rate", "frames", "start_sample", "length"
     )

@@ -80,7 +80,7 @@ def _accept(times, gap):
     return kept
 
 
-@pytest.mark.parametrize("gap,width", [(10, 10), (10, 25), (10, 100000), (0, 50), (37, 41)])
+@pytest.mark.parametrize("gap,width", [(10, 10), (10, 3), (10, 25), (10, 100000), (0, 50), (37, 41)])
 def test_cooldown_equals_loop(spark, gap, width):
     rng = random.Random(gap * 1000 + width)
     rows = []

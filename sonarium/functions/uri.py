@@ -11,7 +11,6 @@ from sonarium.functions.binding import bind
 QUERY = r"^[^?#]*\?([^#]*)"
 FILE_URI_PARAM = r"(?:^|&)fileuri=([^&]+)"
 STRICT_BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
-BREAKS = r"[\t\r\n]"
 LAST_PARAMS = r";[^/]*$"
 IDLE_SEGMENTS = r"/+(\./+)*(\.$)?"
 # --------------------------------------------------------------------------------------------
@@ -27,8 +26,8 @@ def _from_http(host: Column, path: Column) -> Column:
     """Virtual-hosted URLs carry the bucket in the host, others in the first path segment."""
 
     def locate(clean: Column) -> Column:
-        three_labels = F.substring_index(host, ".", 2) != host
-        virtual = three_labels & F.split_part(host, F.lit("."), F.lit(2)).startswith("s3")
+        two_labels = F.substring_index(host, ".", 2)
+        virtual = (two_labels != host) & F.substring_index(two_labels, ".", -1).startswith("s3")
         key = F.when(path == "", F.lit(".")).otherwise(clean)  # an empty path reads as "."
         bucket = F.substring_index(host, ".", 1)
         return F.when(
@@ -76,7 +75,8 @@ def normalize_uri(uri: Column | str, mode: str = "fail") -> Column:
     ``x.s3.lan/bucket/key`` are therefore read as bucket ``x``.
     """
     uri = F.col(uri) if isinstance(uri, str) else uri
-    text = F.ltrim(F.when(uri.rlike(BREAKS), F.translate(uri, "\t\r\n", "")).otherwise(uri))
+    broken = uri.contains("\n") | uri.contains("\t") | uri.contains("\r")
+    text = F.ltrim(F.when(broken, F.translate(uri, "\t\r\n", "")).otherwise(uri))
     result = bind(
         text,
         lambda t: bind(
@@ -100,7 +100,7 @@ def split_uri(uri: Column | str, mode: str = "fail") -> Column:
     uri = F.col(uri) if isinstance(uri, str) else uri
 
     def take_apart(canonical: Column) -> Column:
-        bucket = F.split_part(canonical, F.lit("/"), F.lit(3))
+        bucket = F.substring_index(F.substring_index(canonical, "/", 3), "/", -1)
         key = F.ltrim(F.substr(canonical, F.length(bucket) + 6), F.lit("/"))
         return F.when(canonical.isNotNull(), F.struct(bucket.alias("bucket"), key.alias("key")))
 

@@ -138,25 +138,29 @@ def attach_samples(windows: DataFrame, audio: DataFrame, length: int, name: str
     )
 
 
-def clip_context(detections: DataFrame, chunks: DataFrame, pre: int, post: int, key: str = "device_id",
-                 seq: str = "seq", trigger: str = "trigger_seq", width: int | None = None) -> DataFrame:
-    """Chunks ``seq`` in ``[trigger - pre + 1, trigger + post]`` of the same device, one row each.
+def clip_range(detections: DataFrame, chunks: DataFrame, low: Column, high: Column, width: int,
+               key: str = "device_id", seq: str = "seq") -> DataFrame:
+    """Chunks with ``seq`` in ``[low, high]`` of the same device, one row each.
 
-    Both sides meet on ``(device, seq block)``; a detection is copied only into the blocks its range
-    touches, so a busy device spreads over its blocks.
+    Both sides meet on ``(device, block of width chunk numbers)``; a detection is copied only into the
+    blocks its range touches, so a busy device spreads over its blocks.
     """
-    width = width or max(64, pre + post)
-    block = F.lit(width)
-    low, high = F.col(trigger) - pre + 1, F.col(trigger) + post
-    wanted = detections.withColumn(
-        "_block",
-        F.explode(F.sequence(F.floor(low / block).cast("bigint"), F.floor(high / block).cast("bigint"))),
-    )
-    blocked = chunks.withColumn("_block", F.floor(F.col(seq) / block).cast("bigint"))
+    bounded = detections.withColumn("_low", low).withColumn("_high", high)
+    first, last = F.floor(F.col("_low") / width).cast("bigint"), F.floor(F.col("_high") / width).cast("bigint")
+    wanted = bounded.withColumn("_block", F.explode(F.sequence(first, last)))
+    blocked = chunks.withColumn("_block", F.floor(F.col(seq) / width).cast("bigint"))
     return (
         blocked.join(wanted, [key, "_block"])
-        .filter((F.col(seq) >= low) & (F.col(seq) <= high))
-        .drop("_block")
+        .filter((F.col(seq) >= F.col("_low")) & (F.col(seq) <= F.col("_high")))
+        .drop("_block", "_low", "_high")
+    )
+
+
+def clip_context(detections: DataFrame, chunks: DataFrame, pre: int, post: int, key: str = "device_id",
+                 seq: str = "seq", trigger: str = "trigger_seq", width: int | None = None) -> DataFrame:
+    """Chunks ``seq`` in ``[trigger - pre + 1, trigger + post]`` of the same device, one row each."""
+    return clip_range(
+        detections, chunks, F.col(trigger) - pre + 1, F.col(trigger) + post, width or max(64, pre + post), key, seq
     )
 
 

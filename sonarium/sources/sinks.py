@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonarium.functions import pcm as kernels
+from sonarium.operators.lookups import assemble_clips, clip_range
 from sonarium.schemas import SAMPLE_RATE
 
 WRITTEN = T.StructType(
@@ -90,8 +91,38 @@ def copy_missing(plan: DataFrame, files: DataFrame, folder: str, name: str = "au
     return named.join(wanted, name, "left_semi").select(name, "content").mapInPandas(run, COPIED)
 
 
-def detection_events(detections: DataFrame, time: str = "ts") -> DataFrame:
-    """``key, value`` rows for a topic: the device and a JSON body with an ISO-8601 time."""
-    stamp = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+def detection_events(detections: DataFrame) -> DataFrame:
+    """``key, value`` rows for a topic: the device and a JSON body with an ISO-8601 time.
+
+    Takes detections with ``ts``, or ``ts_ms`` as the stream detector emits it.
+    """
+    at = F.col("ts") if "ts" in detections.columns else F.timestamp_millis("ts_ms")
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     body = F.to_json(F.struct(F.col("device_id"), F.col("seq"), F.col("score"), F.col("source"), stamp.alias("detected_at")))
-    return detections.select(F.col("device_id").alias("key"), body.alias("value"))
+    return detections.select(F.col("device_id").cast("string").alias("key"), body.alias("value"))
+
+
+def emit_detections(detections: DataFrame, checkpoint: str, sink: str = "kafka", **options: str):
+    """Start publishing a detection stream; ``options`` are the sink's own (servers and topic, or a path)."""
+    writer = detection_events(detections).writeStream.format(sink).option("checkpointLocation", checkpoint)
+    return writer.options(**options).outputMode("append").start()
+
+
+def clip_audio(found: DataFrame, chunks: DataFrame, width: int = 64) -> DataFrame:
+    """``audio_file_name, pcm`` of the clips that detections name by ``clip_from..clip_to``.
+
+    ``chunks`` is the stored chunk table; a clip has a fixed number of chunks, so its bytes are bounded.
+    """
+    named = found.filter(F.col("clip_from").isNotNull()).select(
+        "device_id", F.col("seq").alias("trigger_seq"), "clip_from", "clip_to"
+    )
+    context = clip_range(named, chunks.select("device_id", "seq", "pcm"), F.col("clip_from"), F.col("clip_to"), width)
+    clips = assemble_clips(context)
+    joined = F.aggregate("frames", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x))
+    name = F.concat_ws("_", F.lit("clip"), F.col("device_id").cast("string"), F.col("trigger_seq").cast("string"))
+    return clips.select(F.concat(name, F.lit(".wav")).alias("audio_file_name"), joined.alias("pcm"))
+
+
+def save_clips(found: DataFrame, chunks: DataFrame, folder: str, log_path: str) -> None:
+    """Write the clips of one batch of detections; use it in ``foreachBatch``. Rewriting is harmless."""
+    sink_wavs(clip_audio(found, chunks), folder, log_path)

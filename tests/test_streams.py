@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonarium.operators import detect, lookups
-from sonarium.sources import sinks, streams
+from sonarium.sources import audio, sinks, streams
 from sonarium.streaming import detector
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -157,11 +157,32 @@ def test_energy_trigger_clip_and_events(spark, tmp_path):
     triggers = spark.createDataFrame([("mic", 30)], "device_id string, trigger_seq long")
     clip = lookups.assemble_clips(lookups.clip_context(triggers, chunks, 6, 12)).first()
     assert (clip.n_pre, clip.n_post) == (6, 12)
+    stored = spark.createDataFrame(_chunks("mic", values), CHUNKS)
+    rows = spark.createDataFrame(found, "device_id string, seq long, source string, clip_from long, clip_to long")
+    sinks.save_clips(rows, stored, str(tmp_path / "clips"), str(tmp_path / "log"))
+    written = audio.scan_audio(spark, str(tmp_path / "clips")).first()
+    assert written.path.endswith("clip_mic_30.wav") and written.frames == 18 * 400
+    assert written.samples == np.frombuffer(b"".join(values[25:43]), "<i2").tolist()
     events = spark.createDataFrame([("mic", 30, START, 0.9, "ncc")], "device_id string, seq long, ts timestamp, score double, source string")
     row = sinks.detection_events(events).first()
     assert row.key == "mic" and '"detected_at":"2024-01-01T00:00:00.000000"' in row.value
 
 
+def test_emit_to_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [("mic", i, START + datetime.timedelta(seconds=i), float(i % 5 == 0)) for i in range(20)]
+    schema = "device_id string, seq long, ts timestamp, score double"
+    path = _write(spark, tmp_path / "in", rows, schema, 1)
+    source = streams.stream_files(spark, path, spark.createDataFrame([], schema).schema)
+    found = detector.detect_stream(source, detector.DetectorSettings(scorer="given", cooldown_ms=10_000, save=False))
+    query = sinks.emit_detections(found, str(tmp_path / "cp"), sink="json", path=str(tmp_path / "out"))
+    query.processAllAvailable()
+    query.stop()
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert len(got) == 2 and {r.key for r in got} == {"mic"}
+    assert any('"seq":10' in r.value and '"detected_at":"2024-01-01T00:00:10.000000"' in r.value for r in got)
+
+
 def test_settings():
     d = detector.detector_settings()
     assert (d.analysis_chunks, d.pre_chunks, d.post_chunks, d.inclusive, d.every) == (4, 6, 12, True, 1)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces and token pairs whose results a worker keeps; the stores are emptied when full.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 CACHE_PAIRS = 500_000
 _BATCH_BYTES = 4 << 20
 _NEVER = 1 << 62
@@ -23,6 +25,10 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
+#: The same pattern for texts of ASCII and Latin letters only, where the classes are plain ranges.
+_LATIN, _SIGN, _SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~", r"\t-\r "
+LATIN_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGN}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+
 
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
@@ -69,18 +75,22 @@ class Bpe:
             if whole not in self.parts:
                 self.parts[whole], self.rank_of[whole] = pair, rank
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.output = self.bytes_of | {i: t.encode() for t, i in self.special.items()}
-        self.length = {i: len(b) for i, b in self.bytes_of.items()}
-        self.pairs = _Pieces(lambda pair: self._compatible(*pair), CACHE_PAIRS)
+        output = self.bytes_of | {i: t.encode() for t, i in self.special.items()}
+        ordered = [output.get(i, b"") for i in range(max(output) + 2)]
+        self.flat = np.frombuffer(b"".join(ordered), np.uint8)
+        self.sizes = np.array(list(map(len, ordered)), np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.pairs = _Pieces(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), CACHE_PAIRS)
         self.automaton = ahocorasick.Automaton()
         for i, b in self.bytes_of.items():
             if i not in self.parts and len(b) > 1:
                 continue
             if len(b) == 1 or self._compatible(*self.parts[i], own=self.rank_of[i]):
-                self.automaton.add_word(b.decode("latin-1"), i)
+                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
         self.pieces = _Pieces(self._encode_piece, CACHE_PIECES)
-        self.find = regex.compile(PATTERN).findall
+        self.find_any, self.find_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
+        self.not_latin = re.compile(f"[^{_LATIN}{_SIGN}{_SPACE}0-9]").search
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def _compatible(self, left: int, right: int, own: int | None = None) -> bool:
@@ -106,24 +116,29 @@ class Bpe:
 
     def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8").decode("latin-1")
-        last: list[int | None] = [None] * (len(data) + 1)
-        length, pairs = self.length, self.pairs
-        for end, token in self.automaton.iter(data):
-            if last[end + 1] is None:
-                start = end + 1 - length[token]
+        last: list[tuple | None] = [None] * (len(data) + 1)
+        pairs = self.pairs
+        for end, found in self.automaton.iter(data):
+            end += 1
+            if last[end] is None:
+                start = end - found[1]
                 before = last[start]
-                if start == 0 or (before is not None and pairs[before, token]):
-                    last[end + 1] = token
-        ids, at = [], len(data)
+                if start == 0 or (before is not None and pairs[before[0] << 32 | found[0]]):
+                    last[end] = found
+        ids, at = array("I"), len(data)
         while at:
-            token = last[at]
+            token, length = last[at]
             ids.append(token)
-            at -= length[token]
-        return np.array(ids[::-1], "<u4").tobytes()
+            at -= length
+        ids.reverse()
+        return ids.tobytes()
+
+    def find(self, text: str) -> list[str]:
+        return self.find_any(text) if self.not_latin(text) else self.find_latin(text)
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        if self.split is None:
+        if self.split is None or not any(token in text for token in self.special):
             return b"".join(map(self.pieces.__getitem__, self.find(text)))
         out = []
         for i, part in enumerate(self.split(text)):
@@ -133,14 +148,14 @@ class Bpe:
                 out += map(self.pieces.__getitem__, self.find(part))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        """The text of token ids, special tokens included; ids that no token has add nothing."""
-        found = np.frombuffer(ids, "<u4").tolist()
-        try:
-            data = b"".join(map(self.output.__getitem__, found))
-        except KeyError:
-            data = b"".join(self.output.get(i, b"") for i in found)
-        return data.decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> bytes:
+        """The text of token ids in UTF-8, special tokens included; ids that no token has add nothing."""
+        found = np.frombuffer(ids, "<u4").astype(np.int64)
+        found = np.minimum(found, len(self.sizes) - 1)
+        size = self.sizes[found]
+        ends = np.cumsum(size)
+        places = np.repeat(self.begins[found] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[places].tobytes().decode("utf-8", "replace").encode()
 
 
 _loaded: dict[str, Bpe] = {}
@@ -184,11 +199,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 counts = pa.array([len(i) // 4 for i in ids], pa.int64())
                 if digests:
                     first = pa.array([sha256(i).hexdigest() for i in ids], pa.string())
-                    second = pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back], pa.string())
+                    second = pa.array([sha256(t).hexdigest() for t in back], pa.string())
                     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
                     first = pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], pa.list_(pa.int64()))
-                    second = pa.array(list(back), pa.string())
+                    second = pa.array([t.decode() for t in back], pa.string())
                     names = ["key", "n_tokens", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column("key"), counts, first, second], names=names)
 

@@ -188,7 +188,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     row per input row, no shuffle; other columns are not carried. ``path`` must lead to the vocabulary on every host.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string"
+    kind = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     second = pa.array([sha256(t).hexdigest() for t in back], pa.string())
                     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    first = pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], pa.list_(pa.int64()))
+                    first = pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32()))
                     second = pa.array([t.decode() for t in back], pa.string())
                     names = ["key", "n_tokens", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column("key"), counts, first, second], names=names)

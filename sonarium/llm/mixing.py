@@ -241,6 +241,22 @@ def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, source
     return rows.join(plan, "pattern").select("key", "pattern", "size", passes_taken().alias("passes")), named
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", size: Column | None = None, sources: Column | None = None,
+          weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
+    """The rows of the mix that :func:`mix` plans, all columns kept: each document as often as it is taken.
+
+    The plan has a row per pattern; texts are not shuffled but meet it where they are read.
+    """
+    size = word_count(F.col("text")) if size is None else size
+    sources = F.array(F.col("source")) if sources is None else sources
+    rows = materialize(mixing_rows(docs, key, size, sources, seed), "mix")
+    plan, _ = mix_plan(rows, weights, most)
+    pattern = F.to_json(F.array_sort(F.array_distinct(sources)))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), pattern.alias("pattern"), size.alias("size"), selection_digest(seed, F.col(key)).alias("digest"))
+    taken = whole.join(plan, "pattern").select("doc", passes_taken().cast("int").alias("passes")).where("passes > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("doc.*")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes of it."""
     taken, named = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

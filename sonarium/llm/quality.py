@@ -64,10 +64,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both, np.repeat(np.searchsorted(offsets[1:], starts, side="right"), 2)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch], text: str = "body") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows in runs of about a megabyte of text: the rows, their bytes and offsets."""
     for batch in batches:
-        data, offsets = hashing.texts_buffer(batch.column("body"))
+        data, offsets = hashing.texts_buffer(batch.column(text).cast(pa.binary()))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, side="right")) - 1)
@@ -215,13 +215,13 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | float, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
-        for batch, data, offsets in _runs(batches):
+        for batch, data, offsets in _runs(batches, text):
             x = pool(vectors, data, offsets)
             p = np.full(len(x), network) if isinstance(network, float) else network.probability(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p.astype(float))], names=[*keep, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    rows = docs.select(*keep, *[text] * (text not in keep))
     return rows.mapInArrow(run, f"{kinds}, score double")
 
 

@@ -34,11 +34,16 @@ class _Block:
         first, second = hashing.window_hashes(words, self.at, self.at + width)
         self.rank = rank[text[self.at]]
         order, begin = blocks.groups_of(first)
-        self.group = np.empty(len(order), np.int64)
         sizes = np.diff(np.append(begin, len(order)))
-        self.group[order] = np.repeat(np.arange(len(begin)), sizes)
         # Texts come in ascending key order and the sort is stable: the first of a group has the smallest key.
         head = order[begin]
+        # Entries go in text order, so the owners that travel with them are sorted and compress to little.
+        by_place = np.argsort(head)
+        number = np.empty(len(head), np.int64)
+        number[by_place] = np.arange(len(head))
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.repeat(number, sizes)
+        head = head[by_place]
         self.first, self.second, self.owner = first[head], second[head], self.rank[head]
         self.text, self.width = text, width
 

@@ -221,14 +221,15 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         F.first("prefix").alias("prefix"), F.first("central").alias("central"),
     )
     classes = materialize(classes, "classes")
-    grouped = _candidate_groups(classes, percent).withColumnRenamed("label", "grp")
-    members = grouped.join(classes.drop("prefix", "least"), "node")
-    sizes = members.groupBy("grp").agg(
+    narrow = _candidate_groups(classes, percent).withColumnRenamed("label", "grp").join(classes.select("node", "n_shingles", "central"), "node")
+    sizes = narrow.groupBy("grp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
         F.max(F.struct("central", "node")).alias("hub"),
     )
-    members = members.join(sizes, "grp")
-    members = materialize(members.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")), "members")
+    placed = narrow.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    # The sets join last: they are shuffled by class, then by chunk, and never by group.
+    members = placed.drop("n_shingles").join(classes.select("node", "hashes"), "node")
+    members = materialize(members, "members")
     kept = ["grp", "chunk", "node", "hashes", "central"]
     hubs = members.where("chunks > 1 AND node = hub.node").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tasks = members.where("chunks = 1 OR node <> hub.node").select(*kept, F.lit(False).alias("pivot"))

@@ -30,7 +30,9 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _SHAPES = 64
 _BLOCK = 512
-_PIECE = 1 << 20
+_PIECE = 1 << 19
+#: Texts whose word counts are multiplied with the vectors at a time.
+_POOLED = 128
 
 
 @cache
@@ -65,7 +67,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _runs(batches: Iterator[pa.RecordBatch], text: str = "body") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows in runs of about a megabyte of text: the rows, their bytes and offsets."""
+    """Rows in runs of about half a megabyte of text: the rows, their bytes and offsets."""
     for batch in batches:
         data, offsets = hashing.texts_buffer(batch.column(text).cast(pa.binary()))
         at = 0
@@ -81,14 +83,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     for _, data, offsets in _runs(batches):
         bucket, text = words(data, offsets)
+        plus, minus = [], []
         for step in range(1, 2 * REACH + 1):
             near = np.flatnonzero(text[step:] == text[:-step]) if len(text) > step else np.zeros(0, np.int64)
-            if not len(near):
-                continue
             left, right = bucket[near], bucket[near + step]
             for k in range(PLACES):
-                total += signs[k] * np.bincount(left * DIMS + places[right, k], minlength=len(total))
-                total += signs[k] * np.bincount(right * DIMS + places[left, k], minlength=len(total))
+                sums = plus if signs[k] > 0 else minus
+                sums += [left * DIMS + places[right, k], right * DIMS + places[left, k]]
+        if plus:
+            total += np.bincount(np.concatenate(plus), minlength=len(total))
+            total -= np.bincount(np.concatenate(minus), minlength=len(total))
     total = total.reshape(-1, _BLOCK * DIMS)
     yield pa.RecordBatch.from_arrays(
         [pa.array(range(len(total)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], names=["block", "sums"]
@@ -121,14 +125,17 @@ def pool(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     n = len(offsets) - 1
     bucket, text = words(data, offsets)
     sizes = np.bincount(text, minlength=n)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    table = np.concatenate([vectors, vectors * vectors], axis=1)
     out = np.zeros((n, 2 * DIMS), np.float32)
-    live = np.flatnonzero(sizes)
-    if len(live):
-        begin = (np.cumsum(sizes) - sizes)[live]
-        own = vectors[bucket]
-        mean = np.add.reduceat(own, begin, axis=0) / sizes[live, None]
-        square = np.add.reduceat(own * own, begin, axis=0) / sizes[live, None]
-        out[live] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0))], axis=1)
+    for at in range(0, n, _POOLED):
+        to = min(n, at + _POOLED)
+        own = slice(begin[at], begin[to])
+        # Counts of words by text, times the table of vectors: one product for many texts.
+        counts = np.bincount((text[own] - at) * BUCKETS + bucket[own], minlength=(to - at) * BUCKETS).reshape(to - at, BUCKETS)
+        sums = counts.astype(np.float32) @ table / np.maximum(sizes[at:to, None], 1)
+        mean = sums[:, :DIMS]
+        out[at:to] = np.concatenate([mean, np.sqrt(np.maximum(sums[:, DIMS:] - mean * mean, 0))], axis=1)
     return out
 
 

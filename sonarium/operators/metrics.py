@@ -47,7 +47,8 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def positive_total(df: DataFrame, label: str = "label", negative: str = NEGATIVE_LABEL) -> DataFrame:
-    return df.filter(F.col(label) != negative).agg(F.count(F.lit(1)).alias("n_positive"))
+    # a missing label is not the negative one: balance() counts it as positive too
+    return df.filter(~F.col(label).eqNullSafe(negative)).agg(F.count(F.lit(1)).alias("n_positive"))
 
 
 def _ratio(top: Column, bottom: Column) -> Column:

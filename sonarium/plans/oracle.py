@@ -216,7 +216,7 @@ WITH {_signals('1')}, k AS (SELECT *, {_h60("'42:shift:' || vec_id")} % 64 AS sh
 SELECT vec_id, shift, round({_checksum('(' + _roll('x', 'shift', 64) + ')')}, 6) AS checksum FROM k""",
     "mix_at_snr": f"""
 WITH {_signals('20000')},
-v AS (SELECT a.vec_id, a.x AS s, b.x AS n, snr_db, pair_no FROM sig a JOIN sig b ON b.vec_id = a.vec_id + 1,
+v AS (SELECT a.vec_id, a.x AS s, b.x AS n, snr_db, pair_no FROM sig a JOIN sig b ON b.vec_id = CASE WHEN a.vec_id = (SELECT max(vec_id) FROM embeddings) THEN (SELECT min(vec_id) FROM embeddings) ELSE a.vec_id + 1 END,
       (SELECT unnest([-5, 0, 5, 10, 15]) AS snr_db), (SELECT unnest([0, 1]) AS pair_no)),
 k AS (SELECT *, {_h60("'42:' || vec_id || ':' || snr_db || ':' || pair_no")} % 64 AS shift FROM v),
 r AS (SELECT vec_id, snr_db, pair_no, s, {_roll('n', 'shift', 64)} AS n FROM k),
@@ -422,10 +422,6 @@ SELECT vec_id, fold = 0 AS is_test, CASE WHEN cls THEN 'background' ELSE 'bell'
 FROM (SELECT e.vec_id, e.recording, e.cls, e.embedding FROM e) JOIN (SELECT recording, fold FROM deal) USING (recording)""",
 }
 
-ORACLE |= {
-    "time_stretch": "SELECT vec_id, speed, round(64 / speed)::BIGINT AS frames FROM embeddings, (SELECT unnest([0.9::DOUBLE, 1.1::DOUBLE]) AS speed)",
-}
-
 # The detector row by row: one recursion step per chunk number, all users at once.
 ORACLE["stream_detect"] = f"""
 WITH RECURSIVE {EV},

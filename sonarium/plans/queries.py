@@ -247,9 +247,12 @@ def circular_shift(spark: Spark, d: str) -> DataFrame:
 
 
 def mix_at_snr(spark: Spark, d: str) -> DataFrame:
-    """Every recording mixed with its successor at five SNRs and two shifts."""
+    """Every recording mixed with its successor, the last with the first, at five SNRs and two shifts."""
     rows = c.signals(spark, d)
-    follower = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("samples").alias("noise"))
+    ends = rows.agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
+    before = F.when(F.col("vec_id") == F.col("low"), F.col("high")).otherwise(F.col("vec_id") - 1)
+    # the ends are one row
+    follower = rows.crossJoin(F.broadcast(ends)).select(before.alias("vec_id"), F.col("samples").alias("noise"))
     pairs = noise.cross_variants(rows.select("vec_id", "samples").join(follower, "vec_id"))
     shifted = pairs.withColumn("shift", pick(64, 42, F.col("vec_id"), F.col("snr_db"), F.col("pair_no"))).withColumn(
         "noise", signal.circular_shift("noise", F.col("shift"))
@@ -353,13 +356,6 @@ def room_response(spark: Spark, d: str) -> DataFrame:
     return out.select("vec_id", _round(signal.peak("samples"), 2, "peak"), _round(c.checksum("samples"), 1, "checksum"))
 
 
-def time_stretch(spark: Spark, d: str) -> DataFrame:
-    rows = c.signals(spark, d).select("vec_id", "rate", "frames", "samples")
-    slow = features.time_stretch(rows, 0.9).withColumn("speed", F.lit(0.9))
-    fast = features.time_stretch(rows, 1.1).withColumn("speed", F.lit(1.1))
-    return slow.unionByName(fast).select("vec_id", "speed", "frames")
-
-
 # --------------------------------------------------------------------------------------- spectra
 
 N_FFT, HOP = 32, 8
@@ -512,7 +508,7 @@ BATCH = {
         exclude_values, resolve_first, sample_n, split_draw, balance, background_shortfall, shuffle_rank, group_split,
         leakage_check, split_shape, sample_power, circular_shift, mix_at_snr, gain_jitter, index_windows, index_pool,
         extract_windows, pool_rows, draw_noise, augment, pcm_roundtrip, wav_headers, decode_audio, resample, room_response,
-        time_stretch, power_spectrum, mfcc, mfcc_deltas, spectral_features, attach_features, energetic_window, ncc_score,
+        power_spectrum, mfcc, mfcc_deltas, spectral_features, attach_features, energetic_window, ncc_score,
         multi_template, energy_score, cooldown_detections, clip_context, clip_assembly, throttle_warmup, k_of_n_vote,
         stale_devices, uncertain_rows, class_report, weighted_report, confusion_matrix, fingerprint,
     )

@@ -16,6 +16,11 @@ def build_session(app: str = "sonarium", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The device state of streams has several parts, which only this provider keeps.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Rows carry sample arrays: small Arrow batches keep Python workers lean.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

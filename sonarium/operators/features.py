@@ -74,13 +74,6 @@ def resample(audio: DataFrame, rate: int = SAMPLE_RATE, samples: str = "samples"
     return resampled.withColumn("rate", F.lit(rate)).withColumn("frames", F.size(samples).cast("bigint"))
 
 
-def time_stretch(audio: DataFrame, speed: float, samples: str = "samples") -> DataFrame:
-    """Positives played ``speed`` times faster at the same pitch (0.9 and 1.1 for +/- 10 %)."""
-    return _per_row(
-        audio, samples, samples, T.ArrayType(T.DoubleType()), lambda values, rate: kernels.stretch(values, speed)
-    ).withColumn("frames", F.size(samples).cast("bigint"))
-
-
 def room_response(audio: DataFrame, response: list[float], samples: str = "samples") -> DataFrame:
     """Recordings convolved with one room impulse response."""
     impulse = np.asarray(response, dtype=np.float64)

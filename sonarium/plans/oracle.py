@@ -247,8 +247,8 @@ o AS (SELECT vec_id, noise_pool, {_ordinal('vec_id')} AS ordinal FROM req JOIN s
 SELECT vec_id, noise_pool, path, start_sample FROM o JOIN placed USING (noise_pool, ordinal)""",
     "augment": f"""
 WITH {_signals('20000')}, {NOISE},
-v AS (SELECT path AS split_group, x[1:32] AS s, snr_db, 'aug_snr' || snr_db || '_' || vec_id || '_' || pair_no AS id
-      FROM sig, (SELECT unnest([-5, 0, 5, 10, 15]) AS snr_db), (SELECT unnest([0, 1]) AS pair_no) WHERE label = 0),
+v AS (SELECT path AS split_group, x[o + 1:o + 32] AS s, snr_db, 'aug_snr' || snr_db || '_' || vec_id || '_' || o || '_' || pair_no AS id
+      FROM sig, (SELECT unnest(range(0, 32, 8)) AS o), (SELECT unnest([-5, 0, 5, 10, 15]) AS snr_db), (SELECT unnest([0, 1]) AS pair_no) WHERE label = 0),
 d AS (SELECT *, {_draw('id')} AS noise_pool, {_h60("'42:shift:' || id")} % 32 AS shift,
              -6.0::DOUBLE + 12.0::DOUBLE * ({_h60("'42:gain:' || id")}::DOUBLE / 1152921504606846976) AS gain FROM v),
 o AS (SELECT *, {_ordinal('id')} AS ordinal FROM d JOIN sizes USING (noise_pool)),

@@ -312,9 +312,12 @@ def draw_noise(spark: Spark, d: str) -> DataFrame:
 
 
 def augment(spark: Spark, d: str) -> DataFrame:
+    """Every window of every signal recording, mixed with drawn noise."""
     rows, spans = _draw_inputs(spark, d)
-    found = rows.filter("label = 0").select(
-        F.col("vec_id").alias("signal_id"), F.slice("samples", 1, 32).alias("window"), F.col("path").alias("split_group")
+    starts = F.sequence(F.lit(0), F.lit(64 - 32 - 1), F.lit(8))
+    found = rows.filter("label = 0").select("vec_id", "samples", "path", F.explode(starts).alias("at")).select(
+        F.concat_ws("_", "vec_id", "at").alias("signal_id"), F.slice("samples", F.col("at") + 1, 32).alias("window"),
+        F.col("path").alias("split_group"),
     )
     audio = rows.filter("label > 0").select("path", "frames", "samples")
     made = noise.augment(found, spans, audio, c.POOLS, "bell", 32, 8, rate=1000)

@@ -148,6 +148,8 @@ def cooldown(
     rows, however hot its key. Candidates already passed the score threshold; keep them narrow (ids, not
     samples).
     """
+    missing = F.raise_error(F.lit(f"NULL in {key}: a cooldown needs a key")).cast(candidates.schema[key].dataType)
+    candidates = candidates.withColumn(key, F.coalesce(key, missing))
     if cooldown_ms <= 0:
         return candidates
     gap, columns = int(cooldown_ms), candidates.columns

@@ -66,9 +66,11 @@ def attach_duration(annotations: DataFrame, info: DataFrame, name: str = "audio_
 
 
 def attach_features(chunks: DataFrame, features: DataFrame, name: str = "audio_file_name",
-                    frames_per_tile: int = 256, rate: int = 16000, hop: int = 512) -> DataFrame:
+                    frames_per_tile: int = 256, rate: int = 16000, hop: int = 512, mode: str = "fail") -> DataFrame:
     """Frames of every chunk from the per-file feature arrays (``name, features``).
 
+    A missing file, or one too short for the chunk, is an error, or NULL with ``mode='null'``.
+
     Call it after sampling. Files are cut into tiles twice ``frames_per_tile`` wide first, so a chunk
     meets only the tile its frames lie in: no join row carries a whole file, and a file with very many
     chunks spreads over its tiles. ``frames_per_tile`` must be at least the chunk width in frames.
@@ -92,13 +94,14 @@ def attach_features(chunks: DataFrame, features: DataFrame, name: str = "audio_f
     )
     too_wide = F.raise_error(F.lit("chunk is wider than a feature tile")).cast("int")
     start = F.when(F.col("_width") > tile, too_wide).otherwise(F.pmod(F.col("_first"), tile))
+    frames = F.col("_frames")
+    enough = frames.isNotNull() & (F.size(frames) > 0) & F.forall(frames, lambda row: F.size(row) == F.col("_width"))
+    short = F.raise_error(F.concat(F.lit("no features, or too few, for "), F.coalesce(F.col(name).cast("string"), F.lit("NULL"))))
     return (
         located.join(tiles, [name, "_tile"], "left")
-        .withColumn(
-            "mfcc_features",
-            F.transform("_part", lambda row: F.slice(row, start + 1, F.col("_width"))),
-        )
-        .drop("_first", "_width", "_tile", "_part")
+        .withColumn("_frames", F.transform("_part", lambda row: F.slice(row, start + 1, F.col("_width"))))
+        .withColumn("mfcc_features", F.when(enough, frames).otherwise(short.cast(features.schema["features"].dataType) if mode == "fail" else F.lit(None)))
+        .drop("_frames", "_first", "_width", "_tile", "_part")
     )
 
 

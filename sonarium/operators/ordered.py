@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 SEGMENT = "_segment"
 
 
-def with_segment(df: DataFrame, order: str, width: int, name: str = SEGMENT) -> DataFrame:
-    """``floor(order / width)``; ``width`` bounds how many rows of one key meet in one task."""
+def with_segment(df: DataFrame, order: str, width: int, name: str = SEGMENT, keys: Sequence[str] = ()) -> DataFrame:
+    """``floor(order / width)``; ``width`` bounds how many rows of one key meet in one task.
+
+    A NULL order value has no place and a NULL key no sequence: both are an error, as the joins on segments would
+    lose such rows.
+    """
+    for column in (order, *keys):
+        missing = F.raise_error(F.lit(f"NULL in {column}: ordered operators need a value")).cast(df.schema[column].dataType)
+        df = df.withColumn(column, F.coalesce(column, missing))
     return df.withColumn(name, F.floor(F.col(order) / F.lit(width)).cast("bigint"))
 
 
@@ -33,7 +40,7 @@ def with_ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, name: str = "ordinal"
 ) -> DataFrame:
     """Exact 1-based row number per key: local row number plus the rows of earlier segments."""
-    rows = with_segment(df, order[0], width)
+    rows = with_segment(df, order[0], width, keys=keys)
     offsets = (
         rows.groupBy(*keys, SEGMENT)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -54,7 +61,7 @@ def with_next(
 
     ``value`` must be the leading order column (or grow with it), as interval starts do.
     """
-    rows = with_segment(df, order[0], width)
+    rows = with_segment(df, order[0], width, keys=keys)
     later = Window.partitionBy(*keys).orderBy(SEGMENT)
     heads = (
         rows.groupBy(*keys, SEGMENT)
@@ -77,7 +84,7 @@ def with_session_position(
 
     A reset row starts a new session and is its first row.
     """
-    rows = with_segment(df, order[0], width).withColumn("_reset", F.coalesce(reset, F.lit(False)))
+    rows = with_segment(df, order[0], width, keys=keys).withColumn("_reset", F.coalesce(reset, F.lit(False)))
     running = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = (
         rows.withColumn("_local", F.row_number().over(_local(keys, order)))

@@ -51,8 +51,9 @@ def _any(conditions: list[Column]) -> Column:
     return result
 
 
-def digest_cutoffs(rows: DataFrame, quota: Column) -> dict[str, str]:
-    """The ``quota``-th smallest ``_digest`` of every ``_stratum``; a quota must not exceed its stratum.
+def digest_cutoffs(rows: DataFrame, quota: Column) -> dict[str, tuple[str, int, int]]:
+    """The ``quota``-th smallest ``_digest`` of every ``_stratum``, how many rows share it, and how many of those belong
+    to the quota; a quota must not exceed its stratum.
 
     ``quota`` is computed beside the first histogram (``_stratum, _prefix, _rows``), so it may use window
     sums over it. One row per stratum reaches the driver at each step.
@@ -70,18 +71,38 @@ def digest_cutoffs(rows: DataFrame, quota: Column) -> dict[str, str]:
             break
         digits += PREFIX
         marks = _boundaries(_histogram(inside, digits), _fixed(needs))
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_digest"))
-    wanted = _any([(F.col("_stratum") == s) & (F.col("_rank") == n) for s, n in needs.items()])
-    last = inside.withColumn("_rank", rank).filter(wanted).select("_stratum", "_digest").collect()
-    return {r["_stratum"]: r["_digest"] for r in last}
-
-
-def _below(cutoffs: dict[str, str]) -> Column:
-    return _any([(F.col("_stratum") == s) & (F.col("_digest") <= cut) for s, cut in cutoffs.items()])
+    upto = Window.partitionBy("_stratum").orderBy("_digest").rowsBetween(Window.unboundedPreceding, 0)
+    counts = inside.groupBy("_stratum", "_digest").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_cum", F.sum("_rows").over(upto))
+    wanted = _any(
+        [(F.col("_stratum") == s) & (F.col("_cum") >= n) & (F.col("_cum") - F.col("_rows") < n) for s, n in needs.items()]
+    )
+    last = counts.filter(wanted).collect()
+    return {r["_stratum"]: (r["_digest"], r["_rows"], needs[r["_stratum"]] - r["_cum"] + r["_rows"]) for r in last}
+
+
+def _drawn(rows: DataFrame, cutoffs: dict[str, tuple[str, int, int]], always: Column | None = None) -> DataFrame:
+    """The rows up to the cut-offs. Where more rows share a cut-off digest than belong to the quota, that is, where keys
+    repeat, just enough of them are taken, in the order of a hash over all their columns."""
+    inside, ties = F.lit(False) if always is None else always, F.lit(False)
+    spare = F.lit(0)
+    for stratum, (cut, equal, needed) in cutoffs.items():
+        here = F.col("_stratum") == stratum
+        if needed == equal:
+            inside = inside | (here & (F.col("_digest") <= cut))
+        else:
+            inside, ties = inside | (here & (F.col("_digest") < cut)), ties | (here & (F.col("_digest") == cut))
+            spare = F.when(here, F.lit(needed)).otherwise(spare)
+    taken = rows.filter(inside)
+    if any(needed < equal for _, equal, needed in cutoffs.values()):
+        order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in rows.columns])
+        rank = F.row_number().over(Window.partitionBy("_stratum").orderBy(order))
+        taken = taken.unionByName(rows.filter(ties).withColumn("_rank", rank).filter(F.col("_rank") <= spare).drop("_rank"))
+    return taken.drop("_stratum", "_digest")
 
 
 def sample_n(df: DataFrame, n: int, seed, keys: Sequence[str]) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer) without replacement. ``keys`` must identify a row."""
+    """Exactly ``n`` rows (all, if fewer) without replacement. Rows that share ``keys`` are drawn together, but for those
+    beyond ``n``."""
     return sample_n_per(df, F.lit("all"), {"all": n}, seed, keys)
 
 
@@ -91,7 +112,7 @@ def sample_n_per(df: DataFrame, stratum: Column, quotas: dict[str, int], seed, k
     named = rows.filter(F.col("_stratum").isin(*quotas))
     have = F.sum("_rows").over(Window.partitionBy("_stratum"))
     cutoffs = digest_cutoffs(named, F.least(_fixed(quotas), have))
-    return rows.filter(_below(cutoffs)).drop("_stratum", "_digest")
+    return _drawn(rows, cutoffs)
 
 
 def split_draw(n_target: Column, external_ratio: Column, n_real: Column, n_external: Column) -> Column:
@@ -123,7 +144,7 @@ def balance(
     """Keep all positives and draw ``int(positives * ratio)`` background rows.
 
     Background without a pool (real) and with one (external) is drawn apart, so large external pools
-    cannot crowd out real recordings. ``keys`` must identify a row. Fewer rows than the target come
+    cannot crowd out real recordings. ``keys`` should identify a row. Fewer rows than the target come
     back where both sources run short; :func:`background_shortfall` reports that.
     """
     stratum = (
@@ -133,7 +154,7 @@ def balance(
     )
     rows = chunks.withColumn("_stratum", stratum).withColumn("_digest", md5_key(seed, *[F.col(k) for k in keys]))
     cutoffs = digest_cutoffs(rows, _draw_quota(ratio, external_ratio))
-    return rows.filter((F.col("_stratum") == "positive") | _below(cutoffs)).drop("_stratum", "_digest")
+    return _drawn(rows, cutoffs, always=F.col("_stratum") == "positive")
 
 
 def _draw_quota(ratio: float, external_ratio: float) -> Column:
@@ -171,6 +192,13 @@ def rank_by_digest(df: DataFrame, digest: str, name: str, strata: Sequence[str]
     """
     rows = df.withColumn("_p", F.substring(digest, 1, PREFIX))
     groups = [*strata, "_p"]
+
+    def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+        """Inner join in which NULL meets NULL; the columns of ``on`` come from ``left``."""
+        renamed = right.withColumnsRenamed({c: f"_r{c}" for c in on})
+        equal = [left[c].eqNullSafe(renamed[f"_r{c}"]) for c in on]
+        return left.join(renamed, equal).drop(*[f"_r{c}" for c in on])
+
     counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
     if strata:
         totals = counts.groupBy(*strata).agg(F.sum("_rows").alias("_total"))
@@ -179,7 +207,7 @@ def rank_by_digest(df: DataFrame, digest: str, name: str, strata: Sequence[str]
             F.coalesce(F.sum("_total").over(Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         ).drop("_total")
         inside = Window.partitionBy(*strata).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.join(F.broadcast(base), list(strata)).select(
+        offsets = null_safe(counts, F.broadcast(base), list(strata)).select(
             *groups, (F.col("_base") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_offset")
         )
     else:
@@ -187,8 +215,7 @@ def rank_by_digest(df: DataFrame, digest: str, name: str, strata: Sequence[str]
         offsets = counts.select(*groups, F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy(*groups).orderBy(digest))
     return (
-        rows.withColumn("_local", local)
-        .join(offsets, groups)
+        null_safe(rows.withColumn("_local", local), offsets, groups)
         .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
         .drop("_p", "_local", "_offset")
     )

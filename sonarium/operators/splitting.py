@@ -22,8 +22,11 @@ def group_folds(df: DataFrame, group: str, label: str, test_size: float = TEST_S
     A stratum is (most frequent class, power-of-two size band). Groups are ranked by stratum and key
     digest and dealt round robin, so every fold gets its share of each stratum, give or take one.
 
-    The rows are read once: the table of groups is written to the work folder and ranked from there.
+    The rows are read once: the table of groups is written to the work folder and ranked from there. Rows without a
+    group are an error, as they could end on both sides; rows without a class count as a class of their own.
     """
+    missing = F.raise_error(F.lit(f"NULL in {group}: a split needs a group for every row")).cast(df.schema[group].dataType)
+    df = df.withColumn(group, F.coalesce(group, missing))
     per_class = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
     groups = per_class.groupBy(group).agg(
         F.sum("_n").alias("group_rows"),

@@ -378,8 +378,6 @@ SELECT count(*) AS n_rows, sum(CAST('0x' || substr(h, 1, 8) AS BIGINT))::BIGINT
        sum(CAST('0x' || substr(h, 17, 8) AS BIGINT))::BIGINT AS digest_2, sum(CAST('0x' || substr(h, 25, 8) AS BIGINT))::BIGINT AS digest_3 FROM h""",
 }
 
-# Streams: a window is out once the watermark (newest event minus the delay) has passed its end.
-_MARK = f"(SELECT epoch_us(max(ts)) - {HOUR * 1000} FROM events)"
 _STAMPED = "st AS (SELECT *, epoch_us(ts) AS us FROM events)"
 
 
@@ -387,7 +385,7 @@ def _windows(size: int, slide: int) -> str:
     return f"""
 WITH {_STAMPED}, w AS (SELECT event_type, (us // 1000 // {slide} - o.range) * {slide} AS s, us FROM st, range(0, {size // slide}) o),
 g AS (SELECT event_type, s AS window_start, s + {size} AS window_end, count(*) AS n FROM w GROUP BY event_type, s)
-SELECT * FROM g WHERE window_end * 1000::BIGINT <= {_MARK}"""
+SELECT * FROM g"""
 
 
 ORACLE |= {
@@ -400,11 +398,11 @@ ORACLE |= {
 WITH {_STAMPED}, b AS (SELECT *, CASE WHEN us - lag(us) OVER w >= {12 * HOUR * 1000} THEN 1 ELSE 0 END AS fresh FROM st WINDOW w AS (PARTITION BY user_id ORDER BY us)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM b),
 g AS (SELECT user_id, min(us) AS s, max(us) + {12 * HOUR * 1000} AS e, count(*) AS n FROM n GROUP BY user_id, no)
-SELECT user_id, s // 1000 AS session_start, e // 1000 AS session_end, n FROM g WHERE e <= {_MARK}""",
+SELECT user_id, s // 1000 AS session_start, e // 1000 AS session_end, n FROM g""",
     "stream_dedup": "SELECT event_id, user_id FROM events",
     "stream_rechunk": f"""
 WITH {_STAMPED}, r AS (SELECT user_id, us // 1000 // {24 * HOUR} * {24 * HOUR} AS ts, value, row_number() OVER (PARTITION BY user_id, us // 1000 // {24 * HOUR} ORDER BY us, value) AS i FROM st)
-SELECT user_id, ts, count(*)::INTEGER AS n, round(sum(value * i), 4) AS checksum FROM r WHERE (ts + {24 * HOUR}) * 1000::BIGINT <= {_MARK} GROUP BY user_id, ts""",
+SELECT user_id, ts, count(*)::INTEGER AS n, round(sum(value * i), 4) AS checksum FROM r GROUP BY user_id, ts""",
     "stream_clip_join": f"""
 WITH {_STAMPED} SELECT a.user_id, a.event_id AS trigger_id, b.event_id FROM st a JOIN st b ON a.user_id = b.user_id
   AND b.us BETWEEN a.us - {12 * HOUR * 1000} AND a.us + {24 * HOUR * 1000} WHERE a.event_type = 'purchase' AND a.value >= 100""",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarium.plans import canonical as c
 from sonarium.sources.streams import match_trigger, run_to_table, stream_files
+from sonarium.session import work_dir
 from sonarium.streaming import detector, windows
 
 Spark = SparkSession
@@ -18,6 +21,23 @@ def stream_events(spark: Spark, d: str) -> DataFrame:
     return stream_files(spark, d, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _with_closing(spark: Spark, d: str, silence: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The event stream, and what closes it: a row ``silence`` after the newest event, read from a folder of its own.
+
+    The row itself stays in a window that the watermark never passes.
+    """
+    events, folder = c.table(spark, d, "events"), work_dir(spark, "closing")
+    events.limit(0).write.parquet(folder)
+
+    def close() -> None:
+        last = events.agg((F.max("ts") + F.expr(f"INTERVAL {silence}")).alias("ts"))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+        last.where("ts IS NOT NULL").select(F.col("ts").cast(events.schema["ts"].dataType).alias("ts"), *none).select(events.columns).write.mode("append").parquet(folder)
+
+    end = stream_files(spark, folder, events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream_events(spark, d).unionByName(end), close
+
+
 def _ms(name: str) -> list:
     return [F.unix_millis(name).alias(name)]
 
@@ -63,18 +83,21 @@ def stream_throttle(spark: Spark, d: str) -> DataFrame:
 
 
 def stream_tumbling(spark: Spark, d: str) -> DataFrame:
-    out = windows.event_windows(stream_events(spark, d), ["event_type"], "6 hours", delay="1 hour")
-    return run_to_table(out, "tumbling").select("event_type", *_ms("window_start"), *_ms("window_end"), "n")
+    rows, close = _with_closing(spark, d, "2 DAYS")
+    out = windows.event_windows(rows, ["event_type"], "6 hours", delay="1 hour")
+    return run_to_table(out, "tumbling", close=close).select("event_type", *_ms("window_start"), *_ms("window_end"), "n")
 
 
 def stream_sliding(spark: Spark, d: str) -> DataFrame:
-    out = windows.event_windows(stream_events(spark, d), ["event_type"], "24 hours", "6 hours", delay="1 hour")
-    return run_to_table(out, "sliding").select("event_type", *_ms("window_start"), *_ms("window_end"), "n")
+    rows, close = _with_closing(spark, d, "3 DAYS")
+    out = windows.event_windows(rows, ["event_type"], "24 hours", "6 hours", delay="1 hour")
+    return run_to_table(out, "sliding", close=close).select("event_type", *_ms("window_start"), *_ms("window_end"), "n")
 
 
 def stream_sessions(spark: Spark, d: str) -> DataFrame:
-    out = windows.session_windows(stream_events(spark, d), ["user_id"], "12 hours", delay="1 hour")
-    return run_to_table(out, "sessions").select("user_id", *_ms("session_start"), *_ms("session_end"), "n")
+    rows, close = _with_closing(spark, d, "2 DAYS")
+    out = windows.session_windows(rows, ["user_id"], "12 hours", delay="1 hour")
+    return run_to_table(out, "sessions", close=close).select("user_id", *_ms("session_start"), *_ms("session_end"), "n")
 
 
 def stream_dedup(spark: Spark, d: str) -> DataFrame:
@@ -85,9 +108,9 @@ def stream_dedup(spark: Spark, d: str) -> DataFrame:
 
 
 def stream_rechunk(spark: Spark, d: str) -> DataFrame:
-    rows = stream_events(spark, d).select("user_id", "ts", "value")
-    out = windows.rechunk(rows, "user_id", "1 day", "1 hour")
-    return run_to_table(out, "rechunk").select(
+    rows, close = _with_closing(spark, d, "3 DAYS")
+    out = windows.rechunk(rows.select("user_id", "ts", "value"), "user_id", "1 day", "1 hour")
+    return run_to_table(out, "rechunk", close=close).select(
         "user_id", *_ms("ts"), F.size("values").alias("n"), F.round(c.checksum("values"), 4).alias("checksum")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +42,12 @@ def stream_triggers(spark: SparkSession, path: str, expected: str | None = None,
     return rows.filter(match_trigger(F.col("payload"), expected))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
     """Process everything available, then return the written table.
 
+    ``close`` runs when all is processed; what it adds to the sources is processed in a second run of the same query.
+    A row later than all others, added so, passes the watermark over windows that are still open.
+
     Output and checkpoint live below the session's ``spark.checkpoint.dir``. Append results go through
     the exactly-once file sink; ``complete`` results replace the table batch by batch.
     """
@@ -51,13 +56,16 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     base = work_dir(spark, name)
     table = f"{base}/table"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").outputMode("append").start(table)
-    else:
-        query = writer.outputMode(mode).foreachBatch(
-            lambda batch, number: batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        ).start()
-    query.awaitTermination()
+    for before in (None, close) if close else (None,):
+        if before:
+            before()
+        if mode == "append":
+            query = writer.format("parquet").outputMode("append").start(table)
+        else:
+            query = writer.outputMode(mode).foreachBatch(
+                lambda batch, number: batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            ).start()
+        query.awaitTermination()
     written = spark.read.schema(stream.schema)
     if mode == "append":
         return written.parquet(table)

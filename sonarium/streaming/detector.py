@@ -108,7 +108,10 @@ class ChunkDetector(StatefulProcessor):
                 continue
             seq, now = int(row.seq), int(row.ts_ms)
             if last_seq is not None and seq <= last_seq:
-                continue
+                if not row.is_reset:
+                    continue
+                # The device counts anew: chunk numbers of the past mean nothing from here on.
+                last_seq, blind, first_seq, ring = None, None, None, []
             if last_seq is not None and seq > last_seq + 1 or row.is_reset:
                 warm_left, counted, first_seq = s.warm_up, 0, None if warm_left else first_seq
             last_seq = seq

@@ -129,7 +129,7 @@ def test_quality_metrics(spark):
     empty = metrics.quality_metrics(df.limit(0)).first()
     assert (empty.total_samples, empty.total_files, empty.total_labels, empty.imbalance_ratio) == (0, 0, 0, None)
     assert [tuple(r) for r in metrics.count_per_label(df).collect()] == [("background", 6), ("bell", 2)]
-    assert metrics.positive_total(df).first()[0] == 2
+    assert metrics.positive_total(df).first()[0] == 3
 
 
 def test_reports(spark):

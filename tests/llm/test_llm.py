@@ -245,6 +245,27 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 126, 127, 128, 254, 700])
+def test_simhash_is_the_majority_of_word_hashes(spark, n):
+    line = words(n, n)
+    staged = line_dedup._staged(docs(spark, ["..\n" + ", ".join(line).title() + "!"]), "doc_id", "text")
+    rows = line_dedup._occurrences(staged).collect()
+    hashed = [r.h for r in spark.createDataFrame([(w,) for w in line], "w string").select(F.xxhash64("w", F.lit(1)).alias("h")).collect()]
+    want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashed) > n)
+    assert [(r.pos, r.hash & (1 << 64) - 1) for r in rows] == [(1, want)]
+
+
+def test_shared_ends_do_not_change_verdicts(spark):
+    base = words(30, 3)
+    others = [base[:9] + words(k, 40 + k) + base[at:] for k in range(9) for at in (9, 11, 16)] + [base[::-1], base[1:], base[:-1], words(30, 8)]
+    rows = [(0, i, base, y, len(" ".join(base)), len(" ".join(y))) for i, y in enumerate(others)]
+    schema = "a bigint, b bigint, x array<string>, y array<string>, x_size int, y_size int"
+    got = {r.b for r in line_dedup._verified(spark.createDataFrame(rows, schema)).collect()}
+    texts = spark.createDataFrame([(i, " ".join(base), " ".join(y)) for i, y in enumerate(others)], "b bigint, x string, y string")
+    want = texts.where("levenshtein(x, y) <= greatest(length(x), length(y)) div 5").collect()
+    assert got == {r.b for r in want} and 0 < len(got) < len(others)
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.line_dedup(docs(spark, ["a b c\nd", "A b c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -266,6 +266,41 @@ def test_shared_ends_do_not_change_verdicts(spark):
     assert got == {r.b for r in want} and 0 < len(got) < len(others)
 
 
+def near_by_edits(spark, lines):
+    """Brute force by edit similarity alone: pairs ``a, b`` of the lines, given as id and normal form."""
+    frame = spark.createDataFrame(lines, "id bigint, norm string").withColumn("size", F.length("norm")).repartition(8, "id")
+    left, right = frame.toDF("a", "x", "x_size"), F.broadcast(frame.toDF("b", "y", "y_size"))
+    close = (F.col("a") < F.col("b")) & (5 * F.least("x_size", "y_size") >= 4 * F.greatest("x_size", "y_size"))
+    most = F.floor(F.greatest("x_size", "y_size") / 5).cast("int")
+    return left.join(right, close).where(F.call_function("levenshtein", "x", "y", most) >= 0).select("a", "b").collect()
+
+
+def linked_recall(spark, frame, longest=800):
+    """How many pairs of near lines there are, and which part of them has one label."""
+    staged = line_dedup._staged(frame, "doc_id", "text")
+    found = corpus_pipeline.materialize(line_dedup._occurrences(staged), "found")
+    label = {r.id: r.label for r in line_dedup.line_groups(staged, found, sketches=True).collect()}
+    line = F.element_at(F.split("text", "\n"), F.col("pos") + 1)
+    norms = staged.join(found, "row").select("id", F.array_join(line_dedup.words_of(line), " ").alias("norm")).distinct()
+    pairs = near_by_edits(spark, [tuple(r) for r in norms.where(F.length("norm") <= longest).collect()])
+    return len(pairs), sum(label[a] == label[b] for a, b in pairs) / len(pairs)
+
+
+def test_near_lines_are_found_without_the_hash_condition(spark):
+    random, texts = np.random.default_rng(11), []
+    for n in (8, 14, 20, 40, 60):
+        for k in range(12):
+            line = words(n, 1_000 * n + k)
+            copy = list(line)
+            for p in random.choice(n, max(1, n // 10), replace=False):
+                copy[p] = f"new{k}x{p}"
+            texts += [" ".join(line), " ".join(copy)]
+    n, recall = linked_recall(spark, docs(spark, texts))
+    assert n == 60 and recall >= 0.95
+    n, recall = linked_recall(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    assert n > 5 and recall >= 0.95
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.line_dedup(docs(spark, ["a b c\nd", "A b c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -266,6 +266,17 @@ def test_shared_ends_do_not_change_verdicts(spark):
     assert got == {r.b for r in want} and 0 < len(got) < len(others)
 
 
+def test_long_lines_are_judged_by_edit_distance(spark):
+    base = words(400, 21)
+    lettered = [w[:-1] + "z" if p % 3 == 0 else w for p, w in enumerate(base)]
+    others = [sorted(base), lettered, ["ahead"] + lettered[:-1], ["ahead"] + base[:-1]]
+    rows = [(0, i, base, y, len(" ".join(base)), len(" ".join(y))) for i, y in enumerate(others)]
+    schema = "a bigint, b bigint, x array<string>, y array<string>, x_size int, y_size int"
+    assert {r.b for r in line_dedup._verified(spark.createDataFrame(rows, schema)).collect()} == {1, 2, 3}
+    got = line_dedup.line_dedup(docs(spark, [" ".join(base), " ".join(sorted(base))])).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
 def near_by_edits(spark, lines):
     """Brute force by edit similarity alone: pairs ``a, b`` of the lines, given as id and normal form."""
     frame = spark.createDataFrame(lines, "id bigint, norm string").withColumn("size", F.length("norm")).repartition(8, "id")

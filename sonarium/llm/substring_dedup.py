@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ class _Block:
             missing = np.asarray(table.column("key").is_null())
             keys = np.where(missing, hashing.NO_ID, np.nan_to_num(np.asarray(table.column("key").fill_null(0))))
         keys = keys.astype(np.int64)
-        order = np.argsort(keys, kind="stable")
+        # Rows come in any order, which differs between two reads: ties of keys go by content, so both number entries alike.
+        order = pc.sort_indices(pa.table({"key": keys, "body": table.column("body")}), [("key", "ascending"), ("body", "ascending")]).to_numpy()
         self.table = table.take(pa.array(order))
         self.keys = keys[order]
         self.ids, rank = np.unique(self.keys, return_inverse=True)

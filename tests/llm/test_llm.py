@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,16 @@ def test_substring_dedup_null_keys_and_empty_table(spark):
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
 
 
+def test_entries_do_not_depend_on_the_order_of_rows():
+    bodies = [" ".join(words(12, s)).encode() for s in range(6)] + [" ".join(words(12) + words(12, 1)).encode()]
+    table = pa.table({"key": pa.array([None, None, None, None, 4, 4, 4], pa.int64()), "body": pa.array(bodies, pa.binary())})
+    one = substring_dedup._Block(table, 5)
+    for seed in range(5):
+        other = substring_dedup._Block(table.take(np.random.default_rng(seed).permutation(7)), 5)
+        assert (one.first == other.first).all() and (one.second == other.second).all() and (one.owner == other.owner).all()
+        assert one.table.column("body") == other.table.column("body")
+
+
 def test_long_words_and_window_hashes():
     text = ("z" * 5_000 + " b " + "z" * 5_000 + " c").encode()
     data = np.frombuffer(text, np.uint8)

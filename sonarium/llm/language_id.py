@@ -163,8 +163,6 @@ def _select(p, counts, begin, lengths, theta, chosen, best, cost, mixed) -> np.n
         start = np.where(rank < k, theta[mixed] + 1e-6, 0)
         now, reached = _maximise(p, counts, text, begin, (start / start.sum(1)[:, None]).astype(np.float32), ROUNDS)
         better = reached - cost[mixed] * (k - 1) > value
-        if not better.any() and k > 2:
-            break
         result[better], value[better] = now[better], (reached - cost[mixed] * (k - 1))[better]
     return result
 

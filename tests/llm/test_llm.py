@@ -187,6 +187,18 @@ def test_languages_and_mixtures(spark):
     assert {r.lang_pred for r in language_id.identify(frame, nothing).collect()} == {"und"}
 
 
+def test_language_sets_do_not_depend_on_other_texts(monkeypatch):
+    # By text and size of the set; the first text gains at 4 languages, but not at 3.
+    gains = {0: {2: 1.0, 3: 0.0, 4: 9.0}, 1: {2: 1.0, 3: 5.0, 4: 0.0}}
+    def fake(p, counts, text, begin, start, rounds):
+        return start, np.array([gains[int(p[b, 0])][int((row > 0).sum())] for b, row in zip(begin, start)])
+    monkeypatch.setattr(language_id, "_maximise", fake)
+    p, chosen = np.array([[0.0] * 4, [1.0] * 4]), np.eye(4)[[0, 0]]
+    args = p, np.ones(2, np.float32), np.array([0, 1]), np.array([1, 1]), np.array([[0.4, 0.3, 0.2, 0.1]] * 2), chosen, np.zeros(2), np.full(2, 0.1)
+    alone, both = (language_id._select(*args, np.array(mixed)) for mixed in ([0], [0, 1]))
+    assert (alone[0] == both[0]).all() and (alone[0] > 0).sum() == 4
+
+
 def test_quality_separates_held_out_labels(spark):
     rows = QUERIES["op4_quality"](spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()

@@ -403,6 +403,13 @@ def test_chat_recovers_roles(spark):
     assert (held.role == held.truth).mean() > 0.9 and (held.begins == (held.n == 0)).mean() > 0.95
 
 
+def test_line_stage_drops_documents_left_blank(spark):
+    line = " ".join(words(20, 9))
+    texts = [line, f"{line}\n\n\n \t\n{line}", f"{line}\n***", " \n", None]
+    got = corpus_pipeline.line_stage(spark, docs(spark, texts), SF).collect()
+    assert {r.doc_id: r.text for r in got} == {0: line, 2: "***", 3: " \n", 4: None}
+
+
 def test_pipeline_stages(spark):
     frame, names = spark.read.parquet(f"{SF}/documents.parquet"), None
     for name, stage in corpus_pipeline.STAGES:

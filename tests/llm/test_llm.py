@@ -410,6 +410,16 @@ def test_line_stage_drops_documents_left_blank(spark):
     assert {r.doc_id: r.text for r in got} == {0: line, 2: "***", 3: " \n", 4: None}
 
 
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    base, other, third = words(80, 30), words(80, 31), words(80, 32)
+    near = " ".join(["new"] + base[1:])
+    base, other, third = " ".join(base), " ".join(other), " ".join(third)
+    rows = [(None, base), (None, base), (7, near), (7, third), (3, other), (3, other), (None, other), (None, None), (9, ""), (None, "")]
+    got = corpus_pipeline.near_copy_stage(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), SF).collect()
+    want = [(7, near), (7, third), (3, other), (None, None), (9, ""), (None, "")]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_pipeline_stages(spark):
     frame, names = spark.read.parquet(f"{SF}/documents.parquet"), None
     for name, stage in corpus_pipeline.STAGES:

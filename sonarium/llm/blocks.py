@@ -130,3 +130,15 @@ def groups_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sliced(table: pa.Table, rows: int) -> Iterator[pa.Table]:
     for at in range(0, table.num_rows, rows):
         yield table.slice(at, rows)
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``most`` bytes of a text or binary column, so that long texts make short runs."""
+    begin, size = 0, 0
+    for i, value in enumerate(batch.column(column)):
+        size += len(value.as_buffer()) if value.is_valid else 0
+        if size >= most:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, size = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)

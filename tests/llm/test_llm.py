@@ -434,4 +434,4 @@ def test_pipeline_stages(spark):
 
 
 def test_queries_have_sql_or_tests():
-    assert set(SQL) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(SQL) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -582,8 +582,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 WITH bytes AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strips AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 1398) AS p FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 500)) AS o FROM bytes)
 ), windows AS (
-  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS d FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM bytes)
+  SELECT doc_id, o + i AS i, md5(substr(p, 2 * i + 1, 400)) AS d FROM (SELECT doc_id, o, p, unnest(range(0, least(500, len(p) // 2 - 199))) AS i FROM strips)
 ), again AS (
   SELECT d FROM windows GROUP BY d HAVING count(*) > 1
 ), marked AS (

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from sonarium.functions import pcm as kernels
 from sonarium.functions.signal import correlation_at
-from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_energy, rolling_list, with_segment
+from sonarium.operators.cooldown import SEGMENT_MS, cooldown
+from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_energy, rolling_list
 from sonarium.schemas import SAMPLE_RATE
 
 INT16_SCALE = 32768.0
-SEGMENT_MS = 6 * 3_600_000
 FADE_SECONDS = 0.005
 
 
@@ -132,93 +132,6 @@ def energetic_window(df: DataFrame, key: str, samples: str, n: int) -> DataFrame
     return whole.unionByName(trimmed)
 
 
-# ------------------------------------------------------------------------------------ cooldown
-
-
-def cooldown(
-    candidates: DataFrame, key: str, time: str, cooldown_ms: int, tie: str, width: int = SEGMENT_MS
-) -> DataFrame:
-    """Accept a candidate if at least ``cooldown_ms`` passed since the last *accepted* one.
-
-    The rule chains along the whole key, yet no task sees a whole key: each ``(key, segment)`` is
-    summarised as the map "last accepted time before it -> last accepted time after it" (a step
-    function), the maps are chained per key (one row per segment), and every segment is then replayed
-    from its known starting point. Of candidates at one time only the first by ``tie`` can be accepted,
-    so the others go first (combined before the shuffle) and a segment never holds more than ``width``
-    rows, however hot its key. Candidates already passed the score threshold; keep them narrow (ids, not
-    samples).
-    """
-    missing = F.raise_error(F.lit(f"NULL in {key}: a cooldown needs a key")).cast(candidates.schema[key].dataType)
-    candidates = candidates.withColumn(key, F.coalesce(key, missing))
-    if cooldown_ms <= 0:
-        return candidates
-    gap, columns = int(cooldown_ms), candidates.columns
-    firsts = candidates.groupBy(key, time).agg(F.min_by(F.struct(*columns), tie).alias("_row"))
-    segments = (
-        with_segment(firsts, time, width)
-        .groupBy(key, SEGMENT)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("bigint").alias("t"), "_row"))).alias("_rows"))
-        .withColumn("_times", F.transform("_rows", lambda r: r["t"]))
-    )
-
-    def next_allowed(times: np.ndarray) -> np.ndarray:
-        return np.searchsorted(times, times + gap)
-
-    @F.pandas_udf("struct<entry: array<bigint>, exit: array<bigint>>")
-    def steps(times: pd.Series, segment: pd.Series) -> pd.DataFrame:
-        entries, exits = [], []
-        for line, number in zip(times, segment):
-            follow = next_allowed(line)
-            last = line.copy()
-            for i in range(len(line) - 1, -1, -1):
-                if follow[i] < len(line):
-                    last[i] = last[follow[i]]
-            reach = min(len(line), int(np.searchsorted(line, number * width + gap)) + 1)
-            ends = np.append(last[1:reach] != last[: reach - 1], True)
-            entries.append(line[:reach][ends])
-            exits.append(last[:reach][ends])
-        return pd.DataFrame({"entry": entries, "exit": exits})
-
-    @F.pandas_udf("array<int>")
-    def replay(times: pd.Series, anchor: pd.Series) -> pd.Series:
-        picked = []
-        for line, since in zip(times, anchor):
-            follow = next_allowed(line)
-            at, chosen = 0 if pd.isna(since) else int(np.searchsorted(line, int(since) + gap)), []
-            while at < len(line):
-                chosen.append(at)
-                at = int(follow[at])
-            picked.append(chosen)
-        return pd.Series(picked, dtype=object)
-
-    # keeps the optimizer from adding a filter that runs the function a second time
-    replay = replay.asNondeterministic()
-
-    # the state that enters a segment: fold the maps of the key's earlier segments
-    def advance(state: Column, segment: Column) -> Column:
-        open_from = F.coalesce(state["anchor"] + F.lit(gap), segment["m"]["entry"][0])
-        later = F.size(F.filter(segment["m"]["entry"], lambda e: e >= open_from))
-        moved = F.when(later == 0, state["anchor"]).otherwise(F.element_at(segment["m"]["exit"], -later))
-        entry = F.struct(segment[SEGMENT].alias(SEGMENT), state["anchor"].alias("_anchor"))
-        return F.struct(moved.alias("anchor"), F.concat(state["seen"], F.array(entry)).alias("seen"))
-
-    maps = segments.select(key, SEGMENT, steps("_times", SEGMENT).alias("m"))
-    nothing = F.struct(
-        F.lit(None).cast("bigint").alias("anchor"),
-        F.array().cast(f"array<struct<{SEGMENT}: bigint, _anchor: bigint>>").alias("seen"),
-    )
-    chained = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(SEGMENT, "m"))).alias("_maps"))
-    anchors = chained.select(
-        key, F.explode(F.aggregate("_maps", nothing, advance)["seen"]).alias("_s")
-    ).select(key, f"_s.{SEGMENT}", "_s._anchor")
-    accepted = segments.join(anchors, [key, SEGMENT]).withColumn("_picked", replay("_times", "_anchor"))
-    return (
-        accepted.withColumn("_at", F.explode("_picked"))
-        .select(F.col("_rows")[F.col("_at")]["_row"].alias("_row"))
-        .select("_row.*")
-    )
-
-
 def detections(scored: DataFrame, key: str, time: str, tie: str, threshold: float, cooldown_ms: int,
                inclusive: bool = True, score: str = "score", width: int = SEGMENT_MS) -> DataFrame:
     """Threshold, then cooldown. ``inclusive`` tells ``>=`` from ``>``."""

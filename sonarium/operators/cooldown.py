@@ -19,14 +19,25 @@ from sonarium.operators.ordered import SEGMENT, with_segment
 from sonarium.session import materialize
 
 SEGMENT_MS = 6 * 3_600_000
+#: Candidates of a key that a row may hold, and cooldowns that make a good segment where that many fit.
+SEGMENT_ROWS = 20_000
+SEGMENT_COOLDOWNS = 8
 
 
-def _sections(candidates: DataFrame, key: str, time: str, tie: str, width: int) -> DataFrame:
-    """``key, segment, _times, _rows``: the candidates of every segment that has any, in order of time.
+def _firsts(candidates: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """Of candidates at one time only the first by ``tie`` can be accepted; the others go before the shuffle."""
+    return candidates.groupBy(key, time).agg(F.min_by(F.struct(*candidates.columns), tie).alias("_row"))
 
-    Of candidates at one time only the first by ``tie`` can be accepted, so the others go before the shuffle.
-    """
-    firsts = candidates.groupBy(key, time).agg(F.min_by(F.struct(*candidates.columns), tie).alias("_row"))
+
+def _segment_width(firsts: DataFrame, key: str, time: str, gap: int) -> int:
+    """Some cooldowns, so that nearly every segment settles itself, unless that puts too many candidates in a row."""
+    width = SEGMENT_COOLDOWNS * gap
+    fullest = with_segment(firsts, time, width).groupBy(key, SEGMENT).count().agg(F.max("count")).first()[0]
+    return width if (fullest or 0) <= SEGMENT_ROWS else min(width, SEGMENT_MS)
+
+
+def _sections(firsts: DataFrame, key: str, time: str, width: int) -> DataFrame:
+    """``key, segment, _times, _rows``: the candidates of every segment that has any, in order of time."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(time).cast("bigint").alias("t"), "_row")))
     sections = with_segment(firsts, time, width).groupBy(key, SEGMENT).agg(rows.alias("_rows"))
     return sections.withColumn("_times", F.transform("_rows", lambda r: r["t"]))
@@ -114,12 +125,13 @@ def followed(steps: DataFrame, key: str) -> DataFrame:
 
 
 def cooldown(
-    candidates: DataFrame, key: str, time: str, cooldown_ms: int, tie: str, width: int = SEGMENT_MS
+    candidates: DataFrame, key: str, time: str, cooldown_ms: int, tie: str, width: int | None = None
 ) -> DataFrame:
     """Accept a candidate if at least ``cooldown_ms`` passed since the last *accepted* one.
 
     ``width`` is a segment's length in the unit of ``time``; it bounds the candidates of a key that meet in one row,
-    whatever the cooldown. Candidates already passed the score threshold; keep them narrow (ids, not samples). Of
+    whatever the cooldown. Without it segments are as long as eight cooldowns, or six hours if some key has too many
+    candidates for that. Candidates already passed the score threshold; keep them narrow (ids, not samples). Of
     candidates at one time only the first by ``tie`` can be accepted. A NULL key or time is an error. Segments and
     pointers are written to the work folder.
     """
@@ -128,7 +140,9 @@ def cooldown(
     if cooldown_ms <= 0:
         return candidates
     gap = int(cooldown_ms)
-    sections = materialize(_sections(candidates, key, time, tie, width), "sections")
+    firsts = materialize(_firsts(candidates, key, time, tie), "candidates")
+    width = width or _segment_width(firsts, key, time, gap)
+    sections = materialize(_sections(firsts, key, time, width), "sections")
     maps = materialize(step_maps(sections, key, gap), "steps")
     steps = materialize(pointers(maps, key, gap, width), "pointers")
     marked = followed(steps, key)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sonarium.functions import pcm as kernels
 from sonarium.functions.signal import correlation_at
-from sonarium.operators.cooldown import SEGMENT_MS, cooldown
+from sonarium.operators.cooldown import cooldown
 from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_energy, rolling_list
 from sonarium.schemas import SAMPLE_RATE
 
@@ -133,7 +133,7 @@ def energetic_window(df: DataFrame, key: str, samples: str, n: int) -> DataFrame
 
 
 def detections(scored: DataFrame, key: str, time: str, tie: str, threshold: float, cooldown_ms: int,
-               inclusive: bool = True, score: str = "score", width: int = SEGMENT_MS) -> DataFrame:
+               inclusive: bool = True, score: str = "score", width: int | None = None) -> DataFrame:
     """Threshold, then cooldown. ``inclusive`` tells ``>=`` from ``>``."""
     passed = F.col(score) >= threshold if inclusive else F.col(score) > threshold
     return cooldown(scored.filter(passed), key, time, cooldown_ms, tie, width)

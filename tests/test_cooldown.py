@@ -39,7 +39,7 @@ def test_rows_stay_small_when_a_cooldown_spans_segments(spark):
     """A cooldown of 40 segments: a row holds its segment's candidates or one pointer, however long the chain."""
     gap, width = 400, 10
     rows, times = dense(spark, 2000, 1)
-    sections = c.materialize(c._sections(rows, "k", "t", "t", width), "sections")
+    sections = c.materialize(c._sections(c._firsts(rows, "k", "t", "t"), "k", "t", width), "sections")
     most = sections.agg(F.max(F.size("_times"))).first()[0]
     assert most <= width
     maps = c.materialize(c.step_maps(sections, "k", gap), "steps")
@@ -63,7 +63,7 @@ def test_rows_stay_small_when_a_cooldown_spans_segments(spark):
 def test_pauses_settle_segments(spark):
     """After a pause of a cooldown nothing before matters: no pointer is followed."""
     rows = spark.createDataFrame([(k, 1000 * i + j) for k in range(3) for i in range(20) for j in (0, 3, 9)], "k int, t bigint")
-    sections = c.materialize(c._sections(rows, "k", "t", "t", 500), "sections")
+    sections = c.materialize(c._sections(c._firsts(rows, "k", "t", "t"), "k", "t", 500), "sections")
     maps = c.materialize(c.step_maps(sections, "k", 50), "steps")
     assert maps.where("NOT settled").count() == 0
     assert c.pointers(maps, "k", 50, 500).where("NOT cut").count() == 0
@@ -74,3 +74,12 @@ def test_first_of_a_tie_by_the_given_column(spark):
     rows = spark.createDataFrame([(1, 5, 9), (1, 5, 2), (1, 7, 1), (2, 5, 4)], "k int, t bigint, id int")
     assert sorted(r.id for r in c.cooldown(rows, "k", "t", 3, "id", 4).collect()) == [2, 4]
     assert c.cooldown(rows.limit(0), "k", "t", 3, "id").count() == 0
+
+
+def test_width_follows_the_data(spark, monkeypatch):
+    rows, times = dense(spark, 300, 3)
+    assert c._segment_width(rows, "k", "t", 20) == 160
+    monkeypatch.setattr(c, "SEGMENT_ROWS", 10)
+    monkeypatch.setattr(c, "SEGMENT_MS", 15)
+    assert c._segment_width(rows, "k", "t", 20) == 15
+    assert sorted(r.t for r in c.cooldown(rows, "k", "t", 20, "t").collect()) == accepted(times, 20)

@@ -440,3 +440,41 @@ run AS (
 SELECT user_id AS device_id, seq, ms AS ts_ms, CASE WHEN source = 'given' THEN score END AS score, source,
        greatest(first_seq, seq - 199) AS clip_from, seq + 400 AS clip_to
 FROM run JOIN ch USING (user_id, n) WHERE source IS NOT NULL"""
+
+# Arrivals within the delay stand in order; an error comes after all others, too late if its user had a later event.
+_REORDERED = f"""
+WITH {EV}, l AS (SELECT user_id, max((start_ms, event_id)) AS last FROM ev WHERE event_type <> 'error' GROUP BY user_id),
+m AS (SELECT ev.*, coalesce(event_type = 'error' AND (start_ms, event_id) < last, false) AS late FROM ev LEFT JOIN l USING (user_id)),
+o AS (SELECT event_id, user_id, CASE WHEN NOT late THEN row_number() OVER (PARTITION BY user_id, late ORDER BY start_ms, event_id) END AS position, late FROM m)"""
+# Chunks of sound made from vectors, with the chunk before them.
+_SOUND = """
+n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq FROM embeddings),
+e AS (SELECT vec_id, 'dev_' || label AS device_id, seq,
+             list_transform(embedding, lambda v: trunc(v::DOUBLE * 20000 * (0.4::DOUBLE + (seq % 5)::DOUBLE * 0.12::DOUBLE))) AS s FROM n),
+w AS (SELECT device_id, seq, seq * 500 AS ms, list_concat(coalesce(lag(s) OVER (PARTITION BY device_id ORDER BY seq), []), s) AS y FROM e)"""
+
+ORACLE |= {
+    "stream_reorder": f"{_REORDERED} SELECT * FROM o",
+    "stream_late": f"{_REORDERED} SELECT user_id, count(position) AS n_released, count(*) FILTER (late) AS n_late FROM o GROUP BY user_id",
+    "stream_reorder_cooldown": ORACLE["cooldown_detections"],
+    "stream_template": f"""
+WITH RECURSIVE {_SOUND}, t AS (SELECT list_transform(embedding, lambda v: trunc(v::DOUBLE * 20000)) AS t FROM embeddings ORDER BY vec_id LIMIT 1),
+a AS (SELECT device_id, seq, ms, t, unnest(list_transform(range(1, len(y) - len(t) + 2), lambda i: y[i:i + len(t) - 1])) AS x FROM w, t),
+c AS (SELECT device_id, seq, ms FROM a GROUP BY ALL
+      HAVING max(abs(list_inner_product(x, t)) / sqrt(list_inner_product(x, x) * list_inner_product(t, t))) >= 0.36::DOUBLE),
+acc AS (SELECT device_id, min(ms) AS ms FROM c GROUP BY device_id
+        UNION ALL SELECT c.device_id, min(c.ms) FROM acc JOIN c ON c.device_id = acc.device_id AND c.ms >= acc.ms + 2000 GROUP BY c.device_id)
+SELECT device_id, seq, ms AS ts_ms, 'ncc' AS source FROM acc JOIN c USING (device_id, ms)""",
+    "stream_energy": f"""
+WITH RECURSIVE {_SOUND},
+sc AS (SELECT device_id, seq, ms, sqrt(list_inner_product(y, y) / len(y)) / 32768 AS score FROM w),
+run AS (
+  SELECT device_id, 0::BIGINT AS seq, NULL::BIGINT AS blind, NULL::BIGINT AS accepted, false AS hit FROM (SELECT DISTINCT device_id FROM sc)
+  UNION ALL
+  SELECT device_id, seq, CASE WHEN hit THEN seq + 4 ELSE blind END, CASE WHEN hit THEN ms ELSE accepted END, hit
+  FROM (SELECT sc.device_id, sc.seq, sc.ms, run.blind, run.accepted,
+               coalesce(sc.seq > run.blind, true) AND sc.score >= 0.052::DOUBLE AND coalesce(sc.ms - run.accepted >= 1500, true) AS hit
+        FROM run JOIN sc ON sc.device_id = run.device_id AND sc.seq = run.seq + 1) step)
+SELECT device_id, seq, ms AS ts_ms, round(score, 9) AS score, 'energy' AS source, greatest(1, seq - 2) AS clip_from, seq + 4 AS clip_to
+FROM run JOIN sc USING (device_id, seq) WHERE hit""",
+}

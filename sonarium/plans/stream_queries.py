@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonarium import schemas
+from sonarium.operators.features import encode_pcm16
+from sonarium.operators.ordered import with_ordinal
 from sonarium.plans import canonical as c
-from sonarium.sources.streams import match_trigger, run_to_table, stream_files
 from sonarium.session import work_dir
-from sonarium.streaming import detector, windows
+from sonarium.sources.streams import match_trigger, run_to_table, stream_chunks, stream_files
+from sonarium.streaming import detector, reorder, windows
 
 Spark = SparkSession
 
@@ -131,10 +134,110 @@ def stream_last_seen(spark: Spark, d: str) -> DataFrame:
     return run_to_table(out, "last_seen", mode="complete").select("user_id", *_ms("last_seen"))
 
 
+#: How late events may come, and into how many arrivals they are cut.
+DELAY_MS = 6 * c.HOUR
+ARRIVALS = 4
+
+
+def _arrivals(spark: Spark, events: DataFrame) -> str:
+    """A folder of events in shuffled order, file after file, none more than the delay late; a far later row closes it."""
+    folder = work_dir(spark, "arrivals")
+    shift = F.pmod(F.xxhash64("event_id"), F.lit(DELAY_MS))
+    rows = events.withColumn("_arrival", F.unix_millis(F.col("ts").cast("timestamp")) + shift)
+    low, high = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+    step = ((high or 0) - (low or 0)) // ARRIVALS + 1
+    for i in range(ARRIVALS):
+        part = rows.where(F.floor((F.col("_arrival") - F.lit(low)) / F.lit(step)) == i)
+        part.drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+    _tick(events, "2 DAYS").write.mode("append").parquet(folder)
+    return folder
+
+
+def _tick(events: DataFrame, later: str) -> DataFrame:
+    """A row of user -1, some time after the newest event."""
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {later}")).alias("ts")).where("ts IS NOT NULL")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in ("ts", "event_id", "user_id")]
+    known = [F.lit(v).cast(events.schema[n].dataType).alias(n) for n, v in (("event_id", 0), ("user_id", -1))]
+    return last.select(F.col("ts").cast(events.schema["ts"].dataType).alias("ts"), *known, *none).select(events.columns)
+
+
+def _reordered(spark: Spark, folder: str, schema) -> DataFrame:
+    rows = stream_files(spark, folder, schema, files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reorder.reorder_stream(rows.select("user_id", "event_id", "ts", "value"), DELAY_MS, "user_id", "event_id")
+
+
+def stream_reorder(spark: Spark, d: str) -> DataFrame:
+    """Shuffled arrivals in order; errors come after all others, most of them too late."""
+    events = c.table(spark, d, "events")
+    folder = _arrivals(spark, events.where("event_type <> 'error'"))
+
+    def close() -> None:
+        events.where("event_type = 'error'").unionByName(_tick(events, "9 DAYS")).coalesce(1).write.mode("append").parquet(folder)
+
+    found = run_to_table(_reordered(spark, folder, events.schema), "reorder", close=close).where("user_id <> -1")
+    return found.select(F.col("seq").alias("event_id"), "user_id", "position", "late")
+
+
+def stream_late(spark: Spark, d: str) -> DataFrame:
+    """What the re-order buffer released, and what came too late, by user."""
+    return stream_reorder(spark, d).groupBy("user_id").agg(F.count("position").alias("n_released"), F.count_if("late").alias("n_late"))
+
+
+def stream_reorder_cooldown(spark: Spark, d: str) -> DataFrame:
+    """Detection behind the re-order buffer, two states in one stream: as if all had come in order."""
+    events = c.table(spark, d, "events")
+    rows = _reordered(spark, _arrivals(spark, events), events.schema).where("NOT late AND user_id <> -1").select(
+        F.col("user_id").alias("device_id"), "seq", F.timestamp_millis("ts_ms").alias("ts"), (F.col("value") / F.lit(c.SCORE_MAX)).alias("score")
+    )
+    settings = detector.DetectorSettings(scorer="given", threshold=0.2, cooldown_ms=240 * c.HOUR, save=False)
+    return run_to_table(detector.detect_stream(rows, settings), "reorder_cooldown").select(
+        F.col("seq").alias("event_id"), F.col("device_id").alias("user_id"), F.col("ts_ms").alias("start_ms")
+    )
+
+
+def _level() -> Column:
+    return F.lit(0.4) + F.pmod("seq", F.lit(5)).cast("double") * F.lit(0.12)
+
+
+def _sound(spark: Spark, d: str) -> DataFrame:
+    """Embeddings as a stream of PCM chunks of five levels: a device for each label, half a second for each vector."""
+    rows = with_ordinal(c.signals(spark, d).where("size(samples) > 0"), ["label"], ["vec_id"], 65536, "seq")
+    chunks = rows.select(
+        F.concat(F.lit("dev_"), F.col("label").cast("string")).alias("device_id"), "seq",
+        F.timestamp_millis(F.col("seq") * 500).alias("ts"), encode_pcm16(F.transform("samples", lambda x: x * _level())).alias("pcm"),
+    )
+    folder = work_dir(spark, "sound")
+    chunks.select(*schemas.CHUNK_STREAM.names).write.parquet(folder)
+    return stream_chunks(spark, folder)
+
+
+def _first_vector(spark: Spark, d: str) -> list[float]:
+    """The samples of the first vector, as a chunk holds them."""
+    row = c.signals(spark, d).orderBy("vec_id").select("samples").first()
+    return [float(int(x)) / 32768.0 for x in row.samples]
+
+
+def stream_template(spark: Spark, d: str) -> DataFrame:
+    """Windows of two chunks that resemble the first vector."""
+    settings = detector.DetectorSettings(
+        template=_first_vector(spark, d), threshold=0.36, cooldown_ms=2_000, analysis_chunks=2, save=False, report_late=True
+    )
+    found = run_to_table(detector.detect_stream(_sound(spark, d), settings), "template", idle=False)
+    return found.select("device_id", "seq", "ts_ms", "source")
+
+
+def stream_energy(spark: Spark, d: str) -> DataFrame:
+    """Windows of two chunks that are loud, with the clips around them."""
+    settings = detector.DetectorSettings(scorer="energy", threshold=0.052, cooldown_ms=1_500, analysis_chunks=2, pre_chunks=3, post_chunks=4)
+    found = run_to_table(detector.detect_stream(_sound(spark, d), settings), "energy", idle=False)
+    return found.select("device_id", "seq", "ts_ms", F.round("score", 9).alias("score"), "source", "clip_from", "clip_to")
+
+
 STREAMS = {
     f.__name__: f
     for f in (
         stream_triggers, stream_cooldown, stream_detect, stream_throttle, stream_tumbling, stream_sliding,
-        stream_sessions, stream_dedup, stream_rechunk, stream_clip_join, stream_last_seen,
+        stream_sessions, stream_dedup, stream_rechunk, stream_clip_join, stream_last_seen, stream_reorder, stream_late,
+        stream_reorder_cooldown, stream_template, stream_energy,
     )
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from sonarium import schemas
 from sonarium.session import work_dir
 
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,12 +44,26 @@ def stream_triggers(spark: SparkSession, path: str, expected: str | None = None,
     return rows.filter(match_trigger(F.col("payload"), expected))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
+@contextmanager
+def _idle_batches(spark: SparkSession, on: bool) -> Iterator[None]:
+    before = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(on).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", close: Callable[[], None] | None = None,
+                 idle: bool = True) -> DataFrame:
     """Process everything available, then return the written table.
 
     ``close`` runs when all is processed; what it adds to the sources is processed in a second run of the same query.
     A row later than all others, added so, passes the watermark over windows that are still open.
 
+    ``idle=False`` runs no batch without data: state that expires by the clock would ask for such batches for ever. Leave
+    it on for watermarks, which need one more batch to close what is open.
+
     Output and checkpoint live below the session's ``spark.checkpoint.dir``. Append results go through
     the exactly-once file sink; ``complete`` results replace the table batch by batch.
     """
@@ -59,12 +75,13 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", close: Call
     for before in (None, close) if close else (None,):
         if before:
             before()
-        if mode == "append":
-            query = writer.format("parquet").outputMode("append").start(table)
-        else:
-            query = writer.outputMode(mode).foreachBatch(
-                lambda batch, number: batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-            ).start()
+        with _idle_batches(spark, idle):  # a query keeps what it finds at its start
+            if mode == "append":
+                query = writer.format("parquet").outputMode("append").start(table)
+            else:
+                query = writer.outputMode(mode).foreachBatch(
+                    lambda batch, number: batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+                ).start()
         query.awaitTermination()
     written = spark.read.schema(stream.schema)
     if mode == "append":

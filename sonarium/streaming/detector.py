@@ -1,4 +1,4 @@
-"""Stateful detection over chunk streams: one small state machine per device."""
+"""Stateful detection over chunk streams: one small state machine per device, fed with scores."""
 
 from __future__ import annotations
 
@@ -7,17 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sonarium.functions import pcm as kernels
+from sonarium.operators.detect import ncc_udf, rms_udf
+from sonarium.streaming.ring import RING_TTL_MS, analysis_stream
 
 
 @dataclass(frozen=True)
 class DetectorSettings:
-    """``template=None`` and ``scorer='energy'`` trigger on loudness; ``scorer='given'`` reads ``score``."""
+    """``scorer='ncc'`` compares windows of chunks with ``template``, ``'energy'`` takes their loudness, ``'given'`` reads
+    ``score``. With ``report_late`` a chunk that comes after a newer one gives a row of source ``late``."""
 
     scorer: str = "ncc"
     template: Sequence[float] | None = None
@@ -31,6 +33,8 @@ class DetectorSettings:
     warm_up: int = 0
     every: int = 1
     scoring: bool = True
+    report_late: bool = False
+    ring_ttl_ms: int = RING_TTL_MS
 
 
 def detector_settings(chunk_ms: int = 500, window_s: float = 2.0, buffer_minutes: float = 0.05,
@@ -58,7 +62,6 @@ def collector_settings(chunk_ms: int = 500, buffer_minutes: float = 5.0, post_se
 
 
 POSITION = "last_seq bigint, accepted_ms bigint, blind_until bigint, first_seq bigint, warm_left int, counted int, triggered boolean"
-RING = "seq bigint, pcm binary"
 
 
 def _events_type(key_type: T.DataType) -> T.StructType:
@@ -76,11 +79,11 @@ def _events_type(key_type: T.DataType) -> T.StructType:
 
 
 class ChunkDetector(StatefulProcessor):
-    """Warm-up, manual triggers, scoring, threshold, cooldown and clip bounds.
+    """Warm-up, manual triggers, threshold, cooldown and clip bounds over scored chunks.
 
     Emits one row per detection or manual trigger. A clip is named by its chunk numbers
-    ``clip_from..clip_to``; its bytes are joined from the stored chunks, so state holds only the few
-    chunks the analysis window needs. After a saved event the device is blind for the post chunks.
+    ``clip_from..clip_to``; its bytes are joined from the stored chunks, so state holds a few numbers and no sound.
+    After a saved event the device is blind for the post chunks.
     """
 
     def __init__(self, settings: DetectorSettings):
@@ -88,7 +91,6 @@ class ChunkDetector(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.position = handle.getValueState("position", POSITION)
-        self.ring = handle.getListState("ring", RING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self.settings
@@ -99,8 +101,6 @@ class ChunkDetector(StatefulProcessor):
         last_seq, accepted, blind, first_seq, warm_left, counted, triggered = stored or (
             None, None, None, None, s.warm_up, 0, False,
         )
-        keep_audio = s.scorer != "given"
-        ring = [(int(r[0]), r[1]) for r in self.ring.get()] if keep_audio else []
         found = []
         for row in batch.itertuples(index=False):
             if row.is_trigger:
@@ -109,9 +109,11 @@ class ChunkDetector(StatefulProcessor):
             seq, now = int(row.seq), int(row.ts_ms)
             if last_seq is not None and seq <= last_seq:
                 if not row.is_reset:
+                    if s.report_late:
+                        found.append((key[0], seq, now, None, "late", None, None))
                     continue
                 # The device counts anew: chunk numbers of the past mean nothing from here on.
-                last_seq, blind, first_seq, ring = None, None, None, []
+                last_seq, blind, first_seq = None, None, None
             if last_seq is not None and seq > last_seq + 1 or row.is_reset:
                 warm_left, counted, first_seq = s.warm_up, 0, None if warm_left else first_seq
             last_seq = seq
@@ -119,8 +121,6 @@ class ChunkDetector(StatefulProcessor):
                 warm_left -= 1
                 continue
             first_seq = seq if first_seq is None else first_seq
-            if keep_audio:
-                ring = [c for c in ring if c[0] > seq - s.analysis_chunks] + [(seq, row.pcm)]
             if blind is not None and seq <= blind:
                 continue
             source, score = None, None
@@ -133,7 +133,7 @@ class ChunkDetector(StatefulProcessor):
                 counted += 1
                 if counted % s.every:
                     continue
-                score = self._score(ring, row.score)
+                score = float("-inf") if row.score is None or pd.isna(row.score) else float(row.score)
                 hit = score >= s.threshold if s.inclusive else score > s.threshold
                 if hit and (accepted is None or now - accepted >= s.cooldown_ms):
                     accepted, source = now, s.scorer
@@ -142,20 +142,9 @@ class ChunkDetector(StatefulProcessor):
                 blind = high if s.save else blind
                 found.append((key[0], seq, now, score, source, low, high))
         self.position.update((last_seq, accepted, blind, first_seq, warm_left, counted, triggered))
-        if keep_audio:
-            self.ring.put(ring) if ring else self.ring.clear()
         frame = pd.DataFrame(found, columns=["device_id", "seq", "ts_ms", "score", "source", "clip_from", "clip_to"])
         yield frame.astype({"seq": "int64", "ts_ms": "int64", "score": "float64", "clip_from": "Int64", "clip_to": "Int64"})
 
-    def _score(self, ring: list, given) -> float:
-        s = self.settings
-        if s.scorer == "given":
-            return float("-inf") if given is None or pd.isna(given) else float(given)
-        audio = kernels.decode(b"".join(c[1] for c in ring)).astype(np.float64) / 32768.0
-        if s.scorer == "energy":
-            return float(np.sqrt(np.mean(audio**2))) if len(audio) else 0.0
-        return kernels.correlation_peak(audio, np.asarray(s.template, dtype=np.float32))
-
     def close(self) -> None:
         pass
 
@@ -163,10 +152,10 @@ class ChunkDetector(StatefulProcessor):
 def detector_input(chunks: DataFrame, triggers: DataFrame | None = None) -> DataFrame:
     """Chunks and triggers of a device as one stream, with the columns the state machine reads.
 
-    ``chunks`` needs ``device_id, seq, ts``; ``pcm``, ``score`` and ``is_reset`` are optional.
+    ``chunks`` needs ``device_id, seq, ts``; ``score`` and ``is_reset`` are optional.
     """
     have = chunks.columns
-    empty = {"pcm": "binary", "score": "double", "is_reset": "boolean"}
+    empty = {"score": "double", "is_reset": "boolean"}
     optional = [
         F.col(n) if n in have else F.lit(False if n == "is_reset" else None).cast(t).alias(n) for n, t in empty.items()
     ]
@@ -183,9 +172,19 @@ def detector_input(chunks: DataFrame, triggers: DataFrame | None = None) -> Data
     return rows.unionByName(marks)
 
 
+def scored_stream(chunks: DataFrame, settings: DetectorSettings) -> DataFrame:
+    """``device_id, seq, ts, is_reset, score``: chunks with the score of their analysis window.
+
+    A ring of chunks in state makes the windows; comparing them is stateless, so a busy device's windows spread.
+    """
+    window = analysis_stream(chunks, settings.analysis_chunks, settings.ring_ttl_ms)
+    score: Column = (rms_udf() if settings.scorer == "energy" else ncc_udf(settings.template))(F.coalesce("window", F.lit(b"")))
+    return window.select("device_id", "seq", "ts", "is_reset", F.when(F.col("window").isNotNull(), score).alias("score"))
+
+
 def detect_stream(chunks: DataFrame, settings: DetectorSettings, triggers: DataFrame | None = None) -> DataFrame:
     """Detections and manual saves of every device, as a stream."""
-    rows = detector_input(chunks, triggers)
+    rows = detector_input(chunks if settings.scorer == "given" else scored_stream(chunks, settings), triggers)
     return rows.groupBy("device_id").transformWithStateInPandas(
         statefulProcessor=ChunkDetector(settings),
         outputStructType=_events_type(rows.schema["device_id"].dataType),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonarium.operators import detect, lookups
 from sonarium.sources import audio, sinks, streams
-from sonarium.streaming import detector
+from sonarium.streaming import detector, reorder, ring
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 
@@ -57,7 +57,7 @@ def _run(spark, tmp_path, rows, settings, triggers=None, parts=4, name="d"):
         trigger_folder = tmp_path / (name + "_t")
         trigger_folder.mkdir()
         marks = streams.stream_triggers(spark, _write(spark, trigger_folder, triggers, TRIGGERS, 1), expected="go")
-    table = streams.run_to_table(detector.detect_stream(source, settings, marks), name)
+    table = streams.run_to_table(detector.detect_stream(source, settings, marks), name, idle=False)
     return [(r.device_id, r.seq, r.source, r.clip_from, r.clip_to) for r in table.orderBy("device_id", "seq").collect()]
 
 
@@ -211,3 +211,96 @@ def test_throttle_over_batches(spark, tmp_path):
         if place[device] > 2 and (place[device] - 2) % 3 == 0:
             want.add(i)
     assert got == want
+
+
+def _arrive(spark, tmp_path, name, rows, parts):
+    folder = tmp_path / name
+    folder.mkdir()
+    schema = "device_id string, seq long, ts timestamp, score double, note string"
+    path = _write(spark, folder, rows, schema, parts)
+    source = streams.stream_files(spark, path, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    return reorder.reorder_stream(source, 10_000)
+
+
+def _moment(ms):
+    return START + datetime.timedelta(milliseconds=ms)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_shuffled_chunks_stand_in_order(spark, tmp_path, parts):
+    """Whatever the micro-batches, chunks at most the delay late come out once, in order, none late."""
+    rng = np.random.default_rng(parts)
+    rows = [(d, s, _moment(500 * s + k), float(s), None if s % 3 else "x") for k, d in enumerate("ab") for s in range(120)]
+    shifted = sorted(rows + rows[5:9], key=lambda r: r[2] + datetime.timedelta(milliseconds=int(rng.integers(0, 9_900))))
+    tick = [("z", 0, _moment(10_000_000), None, None)]
+    got = streams.run_to_table(_arrive(spark, tmp_path, "in", shifted + tick, parts), "order").where("device_id <> 'z'").collect()
+    start = int(START.timestamp() * 1000)
+    want = {(d, start + 500 * s + k, s, float(s), None if s % 3 else "x", s + 1, False) for k, d in enumerate("ab") for s in range(120)}
+    assert len(got) == 240 and {tuple(r) for r in got} == want
+
+
+def test_late_chunks_are_counted(spark, tmp_path):
+    """Too late is what belongs before a released chunk; what the watermark has passed without that still goes in order."""
+    rows = [("a", s, _moment(500 * s), 0.0, "first") for s in (0, 1, 2, 5)]
+    rows += [("z", 0, _moment(100_000), None, None)] * 4  # the watermark passes all of them
+    rows += [("z", 1, _moment(100_000), None, None)] * 4  # they are released with the next batch
+    rows += [("a", 3, _moment(1500), 0.0, "late"), ("a", 7, _moment(3500), 0.0, "in order"), ("b", 1, _moment(0), 0.0, "new device"), ("a", 5, _moment(2500), 0.0, "again")]
+    rows += [("z", 2, _moment(200_000), None, None)] * 4
+    got = streams.run_to_table(_arrive(spark, tmp_path, "in", rows, 5), "late").where("device_id <> 'z'").collect()
+    assert {(r.device_id, r.seq, r.position, r.late) for r in got} == {
+        ("a", 0, 1, False), ("a", 1, 2, False), ("a", 2, 3, False), ("a", 5, 4, False),
+        ("a", 3, None, True), ("a", 5, None, True), ("a", 7, 5, False), ("b", 1, 1, False),
+    }
+
+
+def test_detector_behind_the_buffer(spark, tmp_path):
+    """Shuffled arrival gives the detections of arrival in order, over one and over many micro-batches."""
+    rng = np.random.default_rng(12)
+    rows = [("mic", s, _moment(500 * s), float(rng.uniform()), None) for s in range(200)]
+    settings = detector.DetectorSettings(scorer="given", threshold=0.7, cooldown_ms=4000, save=False)
+    want = [r[0] for r in _loop([(s, 500 * s, score) for _, s, _, score, _ in rows], settings, [])]
+    shifted = sorted(rows, key=lambda r: r[2] + datetime.timedelta(milliseconds=int(rng.integers(0, 9_900))))
+    for parts in (1, 6):
+        ordered = _arrive(spark, tmp_path, f"in{parts}", shifted + [("z", 0, _moment(10_000_000), None, None)], parts)
+        chunks = ordered.where("NOT late").select("device_id", "seq", F.timestamp_millis("ts_ms").alias("ts"), "score")
+        found = streams.run_to_table(detector.detect_stream(chunks, settings), f"behind{parts}").orderBy("seq").collect()
+        assert [r.seq for r in found if r.device_id == "mic"] == want and len(want) > 5
+
+
+def test_reordering_refuses_names_in_use(spark):
+    with pytest.raises(ValueError, match="late"):
+        reorder.reorder_stream(spark.createDataFrame([], "device_id string, seq long, ts timestamp, late boolean"), 1000)
+
+
+def test_ring_starts_anew_at_gaps_and_resets(spark, tmp_path):
+    schema = "device_id string, seq long, ts timestamp, pcm binary, is_reset boolean"
+    rows = [("a", s, _moment(500 * i), bytes([s]), r) for i, (s, r) in enumerate([(1, False), (2, False), (3, False), (6, False), (7, False), (1, True), (2, False), (2, False)])]
+    (tmp_path / "in").mkdir()
+    path = _write(spark, tmp_path / "in", rows, schema, 4)
+    source = streams.stream_files(spark, path, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    got = streams.run_to_table(ring.analysis_stream(source, 3), "ring", idle=False).orderBy("ts").collect()
+    assert [None if r.window is None else list(r.window) for r in got] == [[1], [1, 2], [1, 2, 3], [6], [6, 7], [1], [1, 2], None]
+
+
+def test_late_chunks_of_the_detector_are_reported(spark, tmp_path):
+    _, values = _audio(20, [])
+    rows = _chunks("mic", values)
+    settings = detector.DetectorSettings(scorer="energy", threshold=2.0, save=False, report_late=True)
+    assert [(f[1], f[2]) for f in _run(spark, tmp_path, rows + rows[5:9], settings, parts=3)] == [(s, "late") for s in range(5, 9)]
+
+
+def test_silent_device_loses_its_ring(spark, tmp_path):
+    """After the time to live the store gives an empty ring: the next window holds its own chunk only."""
+    schema = "device_id string, seq long, ts timestamp, pcm binary"
+    rows = [("a", s, _moment(500 * s), bytes([s])) for s in (1, 2, 3)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    path = _write(spark, folder, rows[:2], schema, 1)
+    source = streams.stream_files(spark, path, spark.createDataFrame([], schema).schema)
+
+    def later():
+        time.sleep(1.5)
+        spark.createDataFrame(rows[2:], schema).coalesce(1).write.mode("append").parquet(path)
+
+    got = streams.run_to_table(ring.analysis_stream(source, 3, ttl_ms=1000), "ttl", close=later, idle=False).orderBy("seq").collect()
+    assert [list(r.window) for r in got] == [[1], [1, 2], [3]]

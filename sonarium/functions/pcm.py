@@ -152,8 +152,12 @@ def cosine_basis(n_out: int, n_in: int) -> np.ndarray:
 
 def power_frames(samples: np.ndarray, n_fft: int, hop: int) -> np.ndarray:
     """``|STFT|^2`` of centred, zero-padded Hann frames: ``(n_fft // 2 + 1) x frames``."""
-    padded = np.pad(np.asarray(samples, dtype=np.float64), n_fft // 2)
-    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop][: 1 + len(samples) // hop]
+    return frame_power(np.pad(np.asarray(samples, dtype=np.float64), n_fft // 2), n_fft, hop, 1 + len(samples) // hop)
+
+
+def frame_power(padded: np.ndarray, n_fft: int, hop: int, count: int) -> np.ndarray:
+    """``|STFT|^2`` of the first ``count`` Hann frames."""
+    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop][:count]
     hann = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n_fft) / n_fft)
     return np.abs(np.fft.rfft(frames * hann, axis=1).T) ** 2
 

@@ -478,3 +478,22 @@ run AS (
 SELECT device_id, seq, ms AS ts_ms, round(score, 9) AS score, 'energy' AS source, greatest(1, seq - 2) AS clip_from, seq + 4 AS clip_to
 FROM run JOIN sc USING (device_id, seq) WHERE hit""",
 }
+
+# Whole samples of a vector, toward zero; vectors of a label behind each other are one recording.
+_WHOLE = "i AS (SELECT vec_id, label, list_transform(embedding, lambda v: trunc(v::DOUBLE * 20000)) AS s FROM embeddings)"
+ORACLE |= {
+    "mfcc_tiled": ORACLE["mfcc"],
+    "pcm_ncc": f"""
+WITH {_WHOLE}, y AS (SELECT label, flatten(list(s ORDER BY vec_id)) AS y FROM i GROUP BY label), t AS (SELECT s AS t FROM i ORDER BY vec_id LIMIT 1),
+a AS (SELECT label, t, unnest(list_transform(range(1, len(y) - len(t) + 2), lambda k: y[k:k + len(t) - 1])) AS x FROM y, t),
+m AS (SELECT label, max(CASE WHEN list_inner_product(x, x) > 0 THEN abs(list_inner_product(x, t)) / sqrt(list_inner_product(x, x) * list_inner_product(t, t)) ELSE 0 END) AS score
+      FROM a GROUP BY label)
+SELECT label, width, round(score, 6) AS score FROM m, (SELECT unnest([17, 64, 1000]) AS width)""",
+    "template_trim": """
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda v: trunc(v::DOUBLE * 8)) AS x FROM embeddings), w AS (SELECT unnest([32, 64]) AS n),
+e AS (SELECT vec_id, n, x, unnest(range(0, greatest(1, len(x) - n + 1))) AS start FROM s, w),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY vec_id, n ORDER BY list_inner_product(x[start + 1:start + n], x[start + 1:start + n]) DESC, start) = 1),
+f AS (SELECT vec_id, n, start, x[start + 1:start + n] AS y, len(x) <= n AS whole FROM b)
+SELECT vec_id, n, start::BIGINT AS start, (start + len(y))::BIGINT AS stop, len(y)::INTEGER AS n_samples,
+       round(list_sum(list_transform(y, lambda v, k: v * k * CASE WHEN whole THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (k - 1) / 2.0::DOUBLE, (n - k) / 2.0::DOUBLE) END)), 6) AS checksum FROM f""",
+}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sonarium.functions import scalars, signal, uri
 from sonarium.functions.keys import pick, uniform
-from sonarium.operators import detect, features, intervals, lookups, metrics, noise, ordered, sampling, splitting
+from sonarium.operators import detect, features, intervals, lookups, metrics, noise, ordered, sampling, splitting, tiles
 from sonarium.plans import canonical as c
+from sonarium.session import materialize
 from sonarium.sources.audio import decode_wavs, wav_info
 
 Spark = SparkSession
@@ -385,6 +386,41 @@ def mfcc(spark: Spark, d: str) -> DataFrame:
     return _cells(out, "mfcc_features", 5, "value")
 
 
+def mfcc_tiled(spark: Spark, d: str) -> DataFrame:
+    """The same in tiles of three frames, of recordings that arrive in runs of 20 samples."""
+    runs = _runs(_audio(spark, d), "vec_id", 20)
+    out = tiles.mfcc_tiles(runs, "vec_id", 16000, 5, N_FFT, HOP, n_mels=8, frames_per_tile=3)
+    return out.select("vec_id", F.col("frame_no").cast("int").alias("frame_no"), F.posexplode("coefficients").alias("row_no", "v")).select(
+        "vec_id", "row_no", "frame_no", _round("v", 5, "value")
+    )
+
+
+def _runs(audio: DataFrame, key: str, n: int) -> DataFrame:
+    """Recordings cut into runs of ``n`` samples, with their starts."""
+    starts = F.sequence(F.lit(0), F.size("samples") - 1, F.lit(n))
+    run = F.transform(starts, lambda s: F.struct(s.cast("bigint").alias("start"), F.slice("samples", s + 1, F.lit(n)).alias("samples")))
+    return audio.where(F.size("samples") > 0).select(key, F.explode(run).alias("r")).select(key, "r.*")
+
+
+def pcm_ncc(spark: Spark, d: str) -> DataFrame:
+    """All vectors of a label as one recording against the first vector, in tiles narrower and wider than that."""
+    signals = c.signals(spark, d).where(F.size("samples") > 0).withColumn("samples", features.decode_pcm16(features.encode_pcm16("samples")))
+    first = signals.orderBy("vec_id").select("samples").first().samples
+    numbered = ordered.with_ordinal(signals.select("label", "vec_id", "samples"), ["label"], ["vec_id"], 65536, "seq")
+    runs = numbered.select("label", ((F.col("seq") - 1) * F.size("samples")).cast("bigint").alias("start"), F.transform("samples", lambda x: x.cast("double")).alias("samples"))
+    runs = materialize(runs, "runs")
+    template = [x / 32768.0 for x in first]
+    found = [tiles.ncc_tiles(runs, "label", template, w, 32768.0).select("label", F.lit(w).alias("width"), _round("score", 6, "score")) for w in (17, 64, 1000)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def template_trim(spark: Spark, d: str) -> DataFrame:
+    """The most energetic 32 samples of every vector, faded, with many ties; 64 samples leave it whole."""
+    signals = c.signals(spark, d, gain=8.0).select("vec_id", F.transform("samples", lambda x: (x.cast("int")).cast("double")).alias("samples"))
+    out = [detect.energetic_window(signals, "vec_id", "samples", n).withColumn("n", F.lit(n)) for n in (32, 64)]
+    return out[0].unionByName(out[1]).select("vec_id", "n", "start", "stop", F.size("window").alias("n_samples"), _round(c.checksum("window"), 6, "checksum"))
+
+
 def mfcc_deltas(spark: Spark, d: str) -> DataFrame:
     out = features.mfcc(_audio(spark, d).select("vec_id", "rate", "samples"), 2, N_FFT, 4, n_mels=8, deltas=True, double=True)
     return _cells(out, "mfcc_features", 5, "value")
@@ -511,7 +547,7 @@ BATCH = {
         exclude_values, resolve_first, sample_n, split_draw, balance, background_shortfall, shuffle_rank, group_split,
         leakage_check, split_shape, sample_power, circular_shift, mix_at_snr, gain_jitter, index_windows, index_pool,
         extract_windows, pool_rows, draw_noise, augment, pcm_roundtrip, wav_headers, decode_audio, resample, room_response,
-        power_spectrum, mfcc, mfcc_deltas, spectral_features, attach_features, energetic_window, ncc_score,
+        power_spectrum, mfcc, mfcc_tiled, mfcc_deltas, pcm_ncc, template_trim, spectral_features, attach_features, energetic_window, ncc_score,
         multi_template, energy_score, cooldown_detections, clip_context, clip_assembly, throttle_warmup, k_of_n_vote,
         stale_devices, uncertain_rows, class_report, weighted_report, confusion_matrix, fingerprint,
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -57,6 +60,24 @@ def loss_curve(model: GBTClassificationModel, train_rows: DataFrame, test_rows:
     return train_rows.sparkSession.createDataFrame(rows, "round int, train_loss double, test_loss double")
 
 
+def error_curve(model: GBTClassificationModel, prepared: DataFrame, side: str = "is_test") -> DataFrame:
+    """``side, round, n, error_rate``: how many rows each side's predictions miss after every boosting round.
+
+    Every tree sees a row once; the running weighted sums of their values are the margins of all rounds, and one aggregate
+    counts the errors of all of them. Nothing is collected.
+    """
+    staged = prepared.withColumn("side", F.when(F.col(side), "val").otherwise("train"))
+    values = []
+    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+        staged = tree.copy().setFeaturesCol("features").setPredictionCol(f"_tree_{i}").transform(staged)
+        values.append(F.col(f"_tree_{i}") * F.lit(float(weight)))
+    margins = [functools.reduce(operator.add, values[: i + 1]) for i in range(len(values))]
+    wrong = [F.count_if((m > 0) != (F.col("target") == 1)).alias(f"_wrong_{i}") for i, m in enumerate(margins)]
+    counts = staged.groupBy("side").agg(F.count(F.lit(1)).alias("n"), *wrong)
+    rounds = F.array(*[F.struct(F.lit(i + 1).alias("round"), (F.col(f"_wrong_{i}") / F.col("n")).alias("error_rate")) for i in range(len(values))])
+    return counts.select("side", "n", F.explode(rounds).alias("r")).select("side", "r.round", "n", "r.error_rate")
+
+
 def evaluate(scored: DataFrame, side: str = "is_test") -> DataFrame:
     """Weighted precision, recall and F1 per side, named ``train`` and ``val``."""
     named = scored.withColumn("side", F.when(F.col(side), "val").otherwise("train"))

@@ -11,8 +11,6 @@ from sonarium.session import materialize, work_dir
 
 Spark = SparkSession
 
-_MODELS: dict[tuple[str, str], tuple[str, DataFrame]] = {}
-
 
 def training_set(spark: Spark, d: str) -> DataFrame:
     """``embedding_features`` as a 2 x 32 array; labels 0-4 are background; 50 recordings as groups."""
@@ -27,14 +25,10 @@ def training_set(spark: Spark, d: str) -> DataFrame:
 
 
 def _trained(spark: Spark, d: str):
-    """Train once per session and data folder; later queries load the saved model."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _MODELS:
-        rows = materialize(training_set(spark, d), "training")
-        path = work_dir(spark, "model")
-        model.save_model(model.train(rows.filter("NOT is_test")), path)
-        _MODELS[key] = (path, rows)
-    path, rows = _MODELS[key]
+    """A model trained on the train side, through its saved form, and all rows."""
+    rows = materialize(training_set(spark, d), "training")
+    path = work_dir(spark, "model")
+    model.save_model(model.train(rows.filter("NOT is_test")), path)
     return model.load_model(path), rows
 
 
@@ -58,6 +52,29 @@ def relabel_next(spark: Spark, d: str) -> DataFrame:
     return detect.uncertain_rows(predict(spark, d), "probability")
 
 
+def model_flow(spark: Spark, d: str) -> DataFrame:
+    """Train, save, load and predict: what must hold of every row's prediction, whatever the trees."""
+    rows = materialize(training_set(spark, d), "training")
+    trained, path = model.train(rows.filter("NOT is_test")), work_dir(spark, "model")
+    model.save_model(trained, path)
+    here = model.predict(trained, rows).select("vec_id", F.col("probability").alias("before"))
+    scored = model.predict(model.load_model(path), rows).join(here, "vec_id")
+    return scored.select(
+        "vec_id", "is_test", "label", F.col("target").cast("int").alias("target"), F.col("probability").between(0, 1).alias("in_range"),
+        ((F.col("probability") > 0.5) == (F.col("prediction") == 1)).alias("agrees"), (F.col("probability") == F.col("before")).alias("reloaded"),
+    )
+
+
+def error_curve(spark: Spark, d: str) -> DataFrame:
+    """Errors of both sides after every round: their rows, and that the last round is the prediction."""
+    trained, rows = _trained(spark, d)
+    curve = model.error_curve(trained, rows)
+    side = F.when(F.col("is_test"), "val").otherwise("train").alias("side")
+    final = model.predict(trained, rows).groupBy(side).agg(F.avg((F.col("prediction") != F.col("target")).cast("int")).alias("final"))
+    last = (F.col("round") < model.ROUNDS) | (F.abs(F.col("error_rate") - F.col("final")) < 1e-12)
+    return curve.join(final, "side").select("side", "round", "n", F.col("error_rate").between(0, 1).alias("in_range"), last.alias("last_is_prediction"))
+
+
 def training_rows(spark: Spark, d: str) -> DataFrame:
     """What the trainer sees: encoded target, side and vector width of every row."""
     from pyspark.ml.functions import vector_to_array
@@ -69,4 +86,4 @@ def training_rows(spark: Spark, d: str) -> DataFrame:
     )
 
 
-MODELS = {f.__name__: f for f in (training_rows, train_eval, loss_curve, predict, relabel_next)}
+MODELS = {f.__name__: f for f in (training_rows, train_eval, loss_curve, error_curve, predict, relabel_next, model_flow)}

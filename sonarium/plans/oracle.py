@@ -497,3 +497,11 @@ f AS (SELECT vec_id, n, start, x[start + 1:start + n] AS y, len(x) <= n AS whole
 SELECT vec_id, n, start::BIGINT AS start, (start + len(y))::BIGINT AS stop, len(y)::INTEGER AS n_samples,
        round(list_sum(list_transform(y, lambda v, k: v * k * CASE WHEN whole THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (k - 1) / 2.0::DOUBLE, (n - k) / 2.0::DOUBLE) END)), 6) AS checksum FROM f""",
 }
+
+# Of a model SQL tells which rows it must have seen on which side, and what must hold of them.
+_SIDES = f"WITH side AS ({ORACLE['training_rows']})"
+ORACLE |= {
+    "model_flow": f"{_SIDES} SELECT vec_id, is_test, label, target, true AS in_range, true AS agrees, true AS reloaded FROM side",
+    "error_curve": f"""{_SIDES}, n AS (SELECT CASE WHEN is_test THEN 'val' ELSE 'train' END AS side, count(*) AS n FROM side GROUP BY 1)
+SELECT side, round::INTEGER AS round, n, true AS in_range, true AS last_is_prediction FROM n, (SELECT unnest(range(1, 26)) AS round)""",
+}

@@ -27,6 +27,18 @@ def test_train_predict_evaluate_save(spark, rows, tmp_path):
     assert set(report) == {"train", "val"} and report["val"].f1 > 0.9 and report["val"].support == 80
     curve = model.loss_curve(fitted, train, test).orderBy("round").collect()
     assert len(curve) == 5 and curve[-1].train_loss < curve[0].train_loss
+    staged = {(r.side, r.round): (r.n, r.error_rate) for r in model.error_curve(fitted, prepared).collect()}
+    seen = prepared.select("features", "target", "is_test").collect()
+    for side, on in (("train", False), ("val", True)):
+        mine = [r for r in seen if r.is_test == on]
+        margin = np.zeros(len(mine))
+        for i, (tree, weight) in enumerate(zip(fitted.trees, fitted.treeWeights)):
+            margin += [weight * tree.predict(r.features) for r in mine]
+            wrong = np.mean((margin > 0) != np.array([r.target == 1 for r in mine]))
+            assert staged[side, i + 1] == (len(mine), pytest.approx(wrong))
+        last = scored.where(F.col("is_test") == on).agg(F.avg((F.col("prediction") != F.col("target")).cast("int"))).first()[0]
+        assert staged[side, 5][1] == pytest.approx(last)
+    assert len(staged) == 10
     model.save_model(fitted, str(tmp_path / "m"))
     again = model.predict(model.load_model(str(tmp_path / "m")), prepared)
     a, b = [{r.id: r.probability for r in df.collect()} for df in (scored, again)]

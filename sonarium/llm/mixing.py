@@ -142,10 +142,10 @@ def _boundary(rows: DataFrame, plan: DataFrame, digit: int) -> DataFrame:
 
 
 def mix_plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Plan a mix of ``rows(pattern, size, digest)``; ``pattern`` is the JSON array of a document's sources.
+    """Plan a mix of a written table ``rows(pattern, size, digest, row)``; ``pattern`` is the JSON array of a document's sources.
 
-    Returns one row per pattern (passes over all its documents, the last digest and size of the partial pass, one
-    document that fits the remainder) and one row per source (its size and target).
+    Returns one row per pattern (passes over all its documents, the last digest and size of the partial pass, the last
+    row of the entry that follows, one document that fits the remainder) and one row per source (its size and target).
     """
     spark = rows.sparkSession
     found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
@@ -178,7 +178,9 @@ def _cut(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Where the partial pass over each pattern ends.
 
     Documents come in digest order. Two histograms of digest prefixes narrow the end down to a 16-millionth of a
-    pattern, so no task orders a whole source; a last document that fits what is left brings the pattern nearer.
+    pattern, and there documents of one digest and size count as one entry, so no task orders a whole source. Of the
+    entry at which the rest runs out as many rows go as fit; one last document that fits what is left then brings the
+    pattern nearer.
     """
     from pyspark.sql import Window
 
@@ -187,38 +189,72 @@ def _cut(rows: DataFrame, plan: DataFrame) -> DataFrame:
     inside = rows.join(one.select("pattern", "bucket"), "pattern").where(F.substring("digest", 1, DIGITS) == F.col("bucket")).drop("bucket")
     two = materialize(_boundary(inside, one.select("pattern", "rest"), 2 * DIGITS), "mix")
     last = inside.join(two, "pattern").where(F.substring("digest", 1, 2 * DIGITS) == F.col("bucket"))
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("digest", "size"))
-    fits = last.withColumn("upto", upto).where("upto <= rest").groupBy("pattern").agg(F.max(F.struct("upto", "digest", "size")).alias("x"))
-    ends = two.join(fits, "pattern", "left").select(
+    entries = last.groupBy("pattern", "rest", "digest", "size").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum(F.col("size") * F.col("m")).over(Window.partitionBy("pattern").orderBy("digest", "size"))
+    entries = materialize(entries.withColumn("upto", upto), "mix")
+    fits = entries.where("upto <= rest").groupBy("pattern").agg(F.max(F.struct("upto", "digest", "size")).alias("x"))
+    next_ = entries.where("upto > rest").groupBy("pattern").agg(F.min(F.struct("digest", "size")).alias("p"))
+    room = F.col("rest") - F.coalesce("x.upto", F.lit(0))
+    ends = two.join(fits, "pattern", "left").join(next_, "pattern", "left").select(
         "pattern",
         # Nothing of the last bucket fits: the pass ends before it.
         F.coalesce("x.digest", "bucket").alias("cut_digest"), F.coalesce("x.size", F.lit(-1)).alias("cut_size"),
-        (F.col("rest") - F.coalesce("x.upto", F.lit(0))).alias("left_over"),
+        F.col("p.digest").alias("part_digest"), F.col("p.size").alias("part_size"),
+        F.coalesce(F.floor(room / F.col("p.size")), F.lit(0)).cast("bigint").alias("part_rows"),
+        (room - F.coalesce(F.floor(room / F.col("p.size")) * F.col("p.size"), F.lit(0))).cast("bigint").alias("left_over"),
     )
     ends = materialize(ends, "mix")
     beyond = F.struct("digest", "size") > F.struct(F.col("cut_digest").alias("digest"), F.col("cut_size").alias("size"))
     filler = rows.join(ends, "pattern").where(beyond & (F.col("size") > 0) & (F.col("size") <= F.col("left_over")))
-    filler = filler.groupBy("pattern").agg(F.max(F.struct("size", "digest")).alias("f"))
-    filler = filler.select("pattern", F.col("f.size").alias("fill_size"), F.col("f.digest").alias("fill_digest"))
-    return materialize(plan.join(ends.drop("left_over"), "pattern", "left").join(filler, "pattern", "left"), "mix")
+    # Of rows with one digest and size the first by number.
+    filler = filler.groupBy("pattern").agg(F.max(F.struct("size", "digest", -F.col("row"))).alias("f"))
+    filler = filler.select("pattern", (-F.col("f.col3")).alias("fill_row"))
+    cut = plan.join(ends.drop("left_over", "part_rows"), "pattern", "left").join(_part_rows(rows, ends), "pattern", "left")
+    return materialize(cut.join(filler, "pattern", "left"), "mix")
+
+
+def _part_rows(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``pattern, part_row``: the number of the last row that goes of the entry at which a pattern's rest runs out.
+
+    Rows are counted by the partition that numbered them; only those of the one partition in which the count is reached
+    are put in order.
+    """
+    from pyspark.sql import Window
+
+    wanted = ends.where("part_rows > 0").select("pattern", F.col("part_digest").alias("digest"), F.col("part_size").alias("size"), "part_rows")
+    own = rows.select("pattern", "digest", "size", "row").join(wanted, ["pattern", "digest", "size"])
+    own = own.withColumn("part", F.shiftright("row", 33))
+    counts = own.groupBy("pattern", "part", "part_rows").count()
+    counts = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("pattern").orderBy("part")))
+    at = counts.where("upto >= part_rows").groupBy("pattern").agg(F.min(F.struct("part", (F.col("part_rows") - F.col("upto") + F.col("count")).alias("place"))).alias("x"))
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy("row"))
+    near = own.select("pattern", "part", "row").join(at.select("pattern", "x.part", "x.place"), ["pattern", "part"]).withColumn("n", place)
+    return near.where("n = place").select("pattern", F.col("row").alias("part_row"))
 
 
 def passes_taken() -> Column:
-    """How many times a row of ``pattern, size, digest`` joined with its plan is taken."""
+    """How many times a row of ``pattern, size, digest, row`` joined with its plan is taken."""
     here = F.struct("digest", F.col("size").alias("size"))
     upto = F.col("cut_digest").isNotNull() & (here <= F.struct(F.col("cut_digest").alias("digest"), F.col("cut_size").cast("bigint").alias("size")))
-    fill = F.col("fill_digest").isNotNull() & (F.col("digest") == F.col("fill_digest")) & (F.col("size") == F.col("fill_size"))
-    return F.col("passes") + F.when(F.coalesce(upto | fill, F.lit(False)), 1).otherwise(0)
+    part = (F.col("digest") == F.col("part_digest")) & (F.col("size") == F.col("part_size")) & (F.col("row") <= F.col("part_row"))
+    fill = F.col("row") == F.col("fill_row")
+    return F.col("passes") + F.when(upto | F.coalesce(part, F.lit(False)) | F.coalesce(fill, F.lit(False)), 1).otherwise(0)
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def mixing_rows(docs: DataFrame, key: str, size: Column, sources: Column, seed: int) -> DataFrame:
-    """``key, pattern, size, digest`` of every document; ``sources`` is an array of its sources."""
+def mixing_rows(docs: DataFrame, key: str, size: Column, sources: Column, seed: int, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """``key, pattern, size, digest, row`` of every document; ``sources`` is an array of its sources.
+
+    ``row`` numbers the rows, so write them before they are used twice.
+    """
     pattern = F.to_json(F.array_sort(F.array_distinct(sources)))
-    return docs.select(F.col(key).alias("key"), pattern.alias("pattern"), size.alias("size"), selection_digest(seed, F.col(key)).alias("digest"))
+    return docs.select(
+        F.col(key).alias("key"), pattern.alias("pattern"), size.alias("size"), selection_digest(seed, F.col(key)).alias("digest"),
+        F.monotonically_increasing_id().alias("row"), *keep,
+    )
 
 
 def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, sources: Column | None = None,
@@ -230,8 +266,9 @@ def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, source
     words to the sources' targets, and repeating a pattern costs more with every pass. Within a pattern a whole pass
     takes every document, a partial one those with the smallest seeded digests of their keys.
 
-    Only patterns and sources reach the driver (:data:`MAX_PATTERNS`). Rows with equal keys and sizes share a digest
-    and so a decision. Documents of size 0 are taken in whole passes and, in digest order, in partial ones. An empty
+    Only patterns and sources reach the driver (:data:`MAX_PATTERNS`). Rows without a key, and rows of one key, have one
+    digest; they are told apart by number where the partial pass ends, so each source comes within a document of its
+    target whatever the keys are. Documents of size 0 are taken in whole passes and, in digest order, in partial ones. An empty
     table gives no rows. Other columns are not carried.
     """
     size = word_count(F.col("text")) if size is None else size
@@ -245,15 +282,13 @@ def mixed(docs: DataFrame, key: str = "doc_id", size: Column | None = None, sour
           weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
     """The rows of the mix that :func:`mix` plans, all columns kept: each document as often as it is taken.
 
-    The plan has a row per pattern; texts are not shuffled but meet it where they are read.
+    Documents are written once with a number for each row, which tells rows of equal keys apart.
     """
     size = word_count(F.col("text")) if size is None else size
     sources = F.array(F.col("source")) if sources is None else sources
-    rows = materialize(mixing_rows(docs, key, size, sources, seed), "mix")
-    plan, _ = mix_plan(rows, weights, most)
-    pattern = F.to_json(F.array_sort(F.array_distinct(sources)))
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), pattern.alias("pattern"), size.alias("size"), selection_digest(seed, F.col(key)).alias("digest"))
-    taken = whole.join(plan, "pattern").select("doc", passes_taken().cast("int").alias("passes")).where("passes > 0")
+    rows = materialize(mixing_rows(docs, key, size, sources, seed, keep=(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"),)), "mix")
+    plan, _ = mix_plan(rows.drop("doc"), weights, most)
+    taken = rows.join(plan, "pattern").select("doc", passes_taken().cast("int").alias("passes")).where("passes > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("doc.*")
 
 

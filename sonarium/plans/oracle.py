@@ -505,3 +505,9 @@ ORACLE |= {
     "error_curve": f"""{_SIDES}, n AS (SELECT CASE WHEN is_test THEN 'val' ELSE 'train' END AS side, count(*) AS n FROM side GROUP BY 1)
 SELECT side, round::INTEGER AS round, n, true AS in_range, true AS last_is_prediction FROM n, (SELECT unnest(range(1, 26)) AS round)""",
 }
+
+ORACLE |= {
+    "file_roundtrip": f"""
+WITH {_WHOLE} SELECT vec_id, 16000 AS rate, 1 AS channels, len(s)::BIGINT AS frames, {_checksum('s')} AS checksum FROM i""",
+    "archive_roundtrip": f"WITH {_WHOLE} SELECT label, vec_id, 16000 AS rate, len(s)::BIGINT AS frames, {_checksum('s')} AS checksum FROM i",
+}

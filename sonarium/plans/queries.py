@@ -9,8 +9,9 @@ from sonarium.functions import scalars, signal, uri
 from sonarium.functions.keys import pick, uniform
 from sonarium.operators import detect, features, intervals, lookups, metrics, noise, ordered, sampling, splitting, tiles
 from sonarium.plans import canonical as c
-from sonarium.session import materialize
-from sonarium.sources.audio import decode_wavs, wav_info
+from sonarium.session import materialize, work_dir
+from sonarium.sources import folders, sinks
+from sonarium.sources.audio import audio_info, decode_wavs, scan_audio, wav_info
 
 Spark = SparkSession
 
@@ -350,6 +351,41 @@ def decode_audio(spark: Spark, d: str) -> DataFrame:
     return decode_wavs(_wavs(spark, d)).select("path", "rate", "frames", c.checksum("samples").alias("checksum"))
 
 
+def file_roundtrip(spark: Spark, d: str) -> DataFrame:
+    """Every vector written as a WAV file, its header read by ranges and its samples read back."""
+    pcm = c.signals(spark, d).select(F.concat("path", F.lit(".wav")).alias("audio_file_name"), features.encode_pcm16("samples").alias("pcm"))
+    folder = work_dir(spark, "wavs")
+    sinks.write_wav(pcm, folder)
+    stem = F.regexp_extract("path", r"vec_(\d+)\.wav$", 1).cast("bigint").alias("vec_id")
+    info = audio_info(spark, folder).select(stem, "rate", "channels", "frames")
+    back = scan_audio(spark, folder).select(stem, c.checksum("samples").alias("checksum"))
+    return info.join(back, "vec_id")
+
+
+def archive_roundtrip(spark: Spark, d: str) -> DataFrame:
+    """A zip archive of WAV files for each label, published, and read back by tasks that share archives."""
+    wavs = c.signals(spark, d).select(
+        F.col("label").alias("label"), F.concat("path", F.lit(".wav")).alias("name"),
+        features.wav_bytes(features.encode_pcm16("samples"), F.lit(16000)).alias("content"),
+    )
+
+    def pack(group):
+        import pandas as pd
+
+        group = group.sort_values("name")
+        return pd.DataFrame({"name": [f"pool_{group['label'].iloc[0]}.zip"], "content": [folders.zipped(group["name"], group["content"])]})
+
+    folder = work_dir(spark, "archives")
+    # an archive is one file and so one group; the largest label bounds it
+    folders.publish(wavs.groupBy("label").applyInPandas(pack, "name string, content binary"), folder)
+    found = folders.members(spark, folder, ".wav", 4096)
+    decoded = decode_wavs(found.select(F.concat_ws("/", "archive", "path").alias("path"), "content"))
+    return decoded.select(
+        F.regexp_extract("path", r"pool_(\d+)\.zip", 1).cast("int").alias("label"), F.regexp_extract("path", r"vec_(\d+)\.wav$", 1).cast("bigint").alias("vec_id"),
+        "rate", "frames", c.checksum("samples").alias("checksum"),
+    )
+
+
 def resample(spark: Spark, d: str) -> DataFrame:
     out = features.resample(c.signals(spark, d, rate=24000, gain=1.0).select("vec_id", "rate", "frames", "samples"), 16000)
     return out.select("vec_id", "rate", "frames", _round(c.checksum("samples"), 5, "checksum"))
@@ -546,7 +582,7 @@ BATCH = {
         count_per_label, label_distribution, positive_total, quality_metrics, sync_plan, name_difference, distinct_first,
         exclude_values, resolve_first, sample_n, split_draw, balance, background_shortfall, shuffle_rank, group_split,
         leakage_check, split_shape, sample_power, circular_shift, mix_at_snr, gain_jitter, index_windows, index_pool,
-        extract_windows, pool_rows, draw_noise, augment, pcm_roundtrip, wav_headers, decode_audio, resample, room_response,
+        extract_windows, pool_rows, draw_noise, augment, pcm_roundtrip, wav_headers, decode_audio, file_roundtrip, archive_roundtrip, resample, room_response,
         power_spectrum, mfcc, mfcc_tiled, mfcc_deltas, pcm_ncc, template_trim, spectral_features, attach_features, energetic_window, ncc_score,
         multi_template, energy_score, cooldown_detections, clip_context, clip_assembly, throttle_warmup, k_of_n_vote,
         stale_devices, uncertain_rows, class_report, weighted_report, confusion_matrix, fingerprint,

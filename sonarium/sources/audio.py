@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sonarium.functions import pcm as kernels
 from sonarium.operators.features import resample
 from sonarium.schemas import AUDIO, AUDIO_INFO, SAMPLE_RATE
-
-MEMBERS = T.StructType(
-    [T.StructField("archive", T.StringType()), T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())]
-)
+from sonarium.sources import folders
 
 
 def list_files(spark: SparkSession, dirs: Sequence[str] | str, glob: str = "*.wav") -> DataFrame:
@@ -46,7 +40,7 @@ def scan_audio(spark: SparkSession, dirs: Sequence[str] | str, glob: str = "*.wa
 def wav_info(files: DataFrame) -> DataFrame:
     """Rate, channels, frames and duration from the header alone.
 
-    ``binaryFile`` reads whole files, so persist or write this small result if it is used twice.
+    For contents that are at hand; of files in folders :func:`audio_info` reads the headers only.
     """
 
     def run(batches):
@@ -66,29 +60,18 @@ def wav_info(files: DataFrame) -> DataFrame:
 
 
 def audio_info(spark: SparkSession, dirs: Sequence[str] | str, glob: str = "*.wav") -> DataFrame:
-    return wav_info(list_files(spark, dirs, glob))
-
-
-def unzip(archives: DataFrame, suffix: str = ".wav") -> DataFrame:
-    """One row per archive member with the suffix, from ``path, content`` of zip files."""
-
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if member.endswith(suffix):
-                            yield pd.DataFrame({"archive": [path], "path": [member], "content": [archive.read(member)]})
-
-    return archives.select("path", "content").mapInPandas(run, MEMBERS)
+    """Rate, channels, frames and duration of WAV files; a task reads a few dozen bytes of each."""
+    return folders.headers(spark, dirs, glob)
 
 
-def scan_audio_archive(spark: SparkSession, path: str, names: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+def scan_audio_archive(spark: SparkSession, path: str, names: DataFrame | None = None, partitions: int | None = None,
+                       partition_bytes: int = folders.PARTITION_BYTES) -> DataFrame:
     """WAV members of zip archives as ``path, content``; ``names(filename)`` keeps the listed ones.
 
-    An archive is read by one task (zip needs random access), so members are redistributed afterwards.
+    Members are dealt to tasks by their sizes in the archive's directory, so one archive may occupy many tasks.
+    ``partitions`` deals them out anew.
     """
-    members = unzip(list_files(spark, path, "*.zip"))
+    members = folders.members(spark, path, ".wav", partition_bytes)
     if partitions:
         members = members.repartition(partitions)
     if names is not None:
@@ -100,7 +83,7 @@ def scan_audio_archive(spark: SparkSession, path: str, names: DataFrame | None =
 
 def archive_table(spark: SparkSession, path: str, member_suffix: str, schema: str) -> DataFrame:
     """A CSV member of a zip archive (pool metadata) as a table with the given columns."""
-    text = unzip(list_files(spark, path, "*.zip"), member_suffix).select(
+    text = folders.members(spark, path, member_suffix).select(
         F.explode(F.split(F.col("content").cast("string"), r"\r?\n")).alias("line"), "path"
     )
     header = ",".join(part.split()[0] for part in schema.split(","))

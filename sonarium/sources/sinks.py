@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
-import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sonarium.functions import pcm as kernels
+from sonarium.operators.features import wav_bytes
 from sonarium.operators.lookups import assemble_clips, clip_range
 from sonarium.schemas import SAMPLE_RATE
-
-WRITTEN = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("frames", T.LongType()), T.StructField("status", T.StringType())]
-)
-COPIED = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("status", T.StringType())]
-)
-
+from sonarium.sources import folders
 
 def write_annotations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True, quote='"', escape='"')
@@ -35,35 +25,27 @@ def write_features(df: DataFrame, path: str, partition_by: str | None = None, mo
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
-def _write_atomically(folder: str, name: str, content: bytes) -> None:
-    """Write under a temporary name, then rename, so no reader ever sees half a file."""
-    os.makedirs(folder, exist_ok=True)
-    partial = os.path.join(folder, f".{name}.{os.getpid()}.part")
-    with open(partial, "wb") as out:
-        out.write(content)
-    os.replace(partial, os.path.join(folder, name))
+def _published(rows: DataFrame, folder: str) -> str:
+    """``written``, or what the file system had against it; other errors are raised."""
+    try:
+        folders.publish(rows, folder)
+    except PySparkException as problem:
+        lines = [x.strip() for x in str(problem).splitlines() if "[Errno" in x or "OSError" in x]
+        if not lines:
+            raise
+        return f"failed: {lines[-1]}"
+    return "written"
 
 
 def write_wav(df: DataFrame, folder: str, name: str = "audio_file_name", pcm: str = "pcm", rate: int = SAMPLE_RATE) -> DataFrame:
-    """Write one WAV per row into a folder all executors mount; returns ``path, frames, status``.
+    """Write one WAV per row into a folder or URI; returns ``path, frames, status`` of the files, which are there by then.
 
-    A failed write becomes a status, not a failed job; renaming makes a retried task harmless. Run an
-    action on the result (or use :func:`sink_wavs`) to do the writing.
+    They appear together when all are written: a failed or repeated task leaves nothing visible, and if the file system
+    refuses them, that is the status of all. Names must differ.
     """
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for file, buffer in zip(batch[name], batch[pcm]):
-                try:
-                    _write_atomically(folder, file, kernels.write_wav(buffer, rate))
-                    status = "written"
-                except OSError as problem:
-                    status = f"failed: {problem}"
-                rows.append((os.path.join(folder, file), len(buffer) // 2, status))
-            yield pd.DataFrame(rows, columns=["path", "frames", "status"])
-
-    return df.select(name, pcm).mapInPandas(run, WRITTEN)
+    status = _published(df.select(F.col(name).alias("name"), wav_bytes(F.col(pcm), F.lit(rate)).alias("content")), folder)
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col(name))
+    return df.select(path.alias("path"), F.floor(F.octet_length(pcm) / 2).cast("bigint").alias("frames"), F.lit(status).alias("status"))
 
 
 def sink_wavs(df: DataFrame, folder: str, log_path: str, **options) -> None:
@@ -72,23 +54,15 @@ def sink_wavs(df: DataFrame, folder: str, log_path: str, **options) -> None:
 
 
 def copy_missing(plan: DataFrame, files: DataFrame, folder: str, name: str = "audio_file_name") -> DataFrame:
-    """Copy the ``fetch`` rows of a sync plan: ``files`` is a ``path, content`` scan of the remote folder."""
-    wanted = plan.filter(F.col("action") == "fetch").select(name)
-    named = files.withColumn(name, F.element_at(F.split("path", "/"), -1))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for file, content in zip(batch[name], batch["content"]):
-                try:
-                    _write_atomically(folder, file, content)
-                    status = "written"
-                except OSError as problem:
-                    status = f"failed: {problem}"
-                rows.append((os.path.join(folder, file), len(content), status))
-            yield pd.DataFrame(rows, columns=["path", "bytes", "status"])
-
-    return named.join(wanted, name, "left_semi").select(name, "content").mapInPandas(run, COPIED)
+    """Copy the ``fetch`` rows of a sync plan: ``files`` is a ``path, content`` scan of the remote folder.
+
+    Returns ``path, bytes, status`` of the copies, which appear together.
+    """
+    wanted = plan.filter(F.col("action") == "fetch").select(name).distinct()
+    named = files.withColumn(name, F.element_at(F.split("path", "/"), -1)).join(wanted, name, "left_semi")
+    status = _published(named.select(F.col(name).alias("name"), "content"), folder)
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col(name))
+    return named.select(path.alias("path"), F.octet_length("content").cast("bigint").alias("bytes"), F.lit(status).alias("status"))
 
 
 def detection_events(detections: DataFrame) -> DataFrame:

@@ -79,3 +79,15 @@ def feature_column(df: DataFrame) -> tuple[str, str]:
         if name.endswith("_features"):
             return name, name.removesuffix("_features")
     raise ValueError("no column ends with '_features'")
+
+
+def filter_label(df: DataFrame, value: str, negate: bool = False, external: bool | None = None, label: str = "label",
+                 pool: str = "noise_pool") -> DataFrame:
+    """Rows of one label, or with ``negate`` of all others; ``external`` keeps rows of a pool, or those of none.
+
+    A row without a label belongs to neither side. Both conditions are plain comparisons, which reach the scan.
+    """
+    kept = df.filter(F.col(label) != F.lit(value) if negate else F.col(label) == F.lit(value))
+    if external is None:
+        return kept
+    return kept.filter(F.col(pool).isNotNull() if external else F.col(pool).isNull())

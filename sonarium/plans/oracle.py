@@ -511,3 +511,13 @@ ORACLE |= {
 WITH {_WHOLE} SELECT vec_id, 16000 AS rate, 1 AS channels, len(s)::BIGINT AS frames, {_checksum('s')} AS checksum FROM i""",
     "archive_roundtrip": f"WITH {_WHOLE} SELECT label, vec_id, 16000 AS rate, len(s)::BIGINT AS frames, {_checksum('s')} AS checksum FROM i",
 }
+
+ORACLE |= {
+    "filter_label": f"""
+WITH {EV} SELECT event_id, CASE WHEN label <> 'background' THEN 'positive' WHEN event_type IN ('error', 'signup') THEN 'external' ELSE 'real' END AS side FROM ev""",
+    "annotations_roundtrip": f"""
+WITH {EV} SELECT event_id::VARCHAR AS annotation_id, user_id::VARCHAR AS file_id, start_ms / 1000.0::DOUBLE AS start, CASE WHEN value < 50 THEN value END AS "end", label,
+       'user ' || user_id || ', "' || event_type || '".wav' AS audio_file_name, 's3://media/' || event_type || '?a=1,2' AS remote_audio_path FROM ev""",
+    "features_roundtrip": f"""
+SELECT vec_id, 'label_' || label AS label, round({_checksum('list_transform(embedding, lambda v: v::DOUBLE)')}, 5) AS checksum FROM embeddings WHERE label IN (1, 3)""",
+}

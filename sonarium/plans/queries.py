@@ -10,7 +10,7 @@ from sonarium.functions.keys import pick, uniform
 from sonarium.operators import detect, features, intervals, lookups, metrics, noise, ordered, sampling, splitting, tiles
 from sonarium.plans import canonical as c
 from sonarium.session import materialize, work_dir
-from sonarium.sources import folders, sinks
+from sonarium.sources import folders, sinks, tables
 from sonarium.sources.audio import audio_info, decode_wavs, scan_audio, wav_info
 
 Spark = SparkSession
@@ -351,6 +351,39 @@ def decode_audio(spark: Spark, d: str) -> DataFrame:
     return decode_wavs(_wavs(spark, d)).select("path", "rate", "frames", c.checksum("samples").alias("checksum"))
 
 
+def filter_label(spark: Spark, d: str) -> DataFrame:
+    """Positives, real background and external background, as the training draw tells them apart."""
+    rows = c.events(spark, d).select("event_id", c.event_label().alias("label"), c.event_pool().alias("noise_pool"))
+    sides = {
+        "positive": scalars.filter_label(rows, "background", negate=True), "real": scalars.filter_label(rows, "background", external=False),
+        "external": scalars.filter_label(rows, "background", external=True),
+    }
+    parts = [df.select("event_id", F.lit(side).alias("side")) for side, df in sides.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def annotations_roundtrip(spark: Spark, d: str) -> DataFrame:
+    """Annotations written as CSV and read back: quotes, commas, line feeds, numbers and missing values."""
+    rows = c.events(spark, d).select(
+        F.col("event_id").cast("string").alias("annotation_id"), F.col("user_id").cast("string").alias("file_id"),
+        (F.col("start_ms") / 1000.0).alias("start"), F.when(F.col("value") < 50, F.col("value")).alias("end"), c.event_label().alias("label"),
+        F.concat(F.lit("user "), "user_id", F.lit(', "'), "event_type", F.lit('".wav')).alias("audio_file_name"),
+        F.concat(F.lit("s3://media/"), "event_type", F.lit("?a=1,2")).alias("remote_audio_path"),
+    )
+    folder = work_dir(spark, "annotations")
+    sinks.write_annotations(rows, folder)
+    return tables.read_annotations(spark, folder)
+
+
+def features_roundtrip(spark: Spark, d: str) -> DataFrame:
+    """Vectors written by label; only the folders of labels 1 and 3 are read."""
+    rows = c.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("label"), F.col("embedding").alias("mfcc_features"))
+    folder = work_dir(spark, "features")
+    sinks.write_features(rows.repartition("label"), folder, partition_by="label")
+    back = tables.read_features(spark, folder, labels=["label_1", "label_3"])
+    return back.select("vec_id", "label", F.round(c.checksum("mfcc_features"), 5).alias("checksum"))
+
+
 def file_roundtrip(spark: Spark, d: str) -> DataFrame:
     """Every vector written as a WAV file, its header read by ranges and its samples read back."""
     pcm = c.signals(spark, d).select(F.concat("path", F.lit(".wav")).alias("audio_file_name"), features.encode_pcm16("samples").alias("pcm"))
@@ -582,7 +615,7 @@ BATCH = {
         count_per_label, label_distribution, positive_total, quality_metrics, sync_plan, name_difference, distinct_first,
         exclude_values, resolve_first, sample_n, split_draw, balance, background_shortfall, shuffle_rank, group_split,
         leakage_check, split_shape, sample_power, circular_shift, mix_at_snr, gain_jitter, index_windows, index_pool,
-        extract_windows, pool_rows, draw_noise, augment, pcm_roundtrip, wav_headers, decode_audio, file_roundtrip, archive_roundtrip, resample, room_response,
+        extract_windows, pool_rows, draw_noise, augment, pcm_roundtrip, wav_headers, decode_audio, filter_label, annotations_roundtrip, features_roundtrip, file_roundtrip, archive_roundtrip, resample, room_response,
         power_spectrum, mfcc, mfcc_tiled, mfcc_deltas, pcm_ncc, template_trim, spectral_features, attach_features, energetic_window, ncc_score,
         multi_template, energy_score, cooldown_detections, clip_context, clip_assembly, throttle_warmup, k_of_n_vote,
         stale_devices, uncertain_rows, class_report, weighted_report, confusion_matrix, fingerprint,

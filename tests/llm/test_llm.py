@@ -223,7 +223,7 @@ def test_language_accuracy(spark):
 
 
 def python_lines(rows):
-    """Brute force over few lines: every pair is tested. Hashes are Spark's, given as (id, place, norm, hash)."""
+    """Brute force over few lines, given as (id, norm): every pair is tested by edit distance alone."""
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -235,7 +235,7 @@ def python_lines(rows):
     for _ in range(5):
         for a in rows:
             for b in rows:
-                if bin((a[3] ^ b[3]) & (1 << 64) - 1).count("1") <= 3 and distance(a[2], b[2]) <= 0.2 * max(len(a[2]), len(b[2])) + 1e-9:
+                if distance(a[1], b[1]) <= 0.2 * max(len(a[1]), len(b[1])) + 1e-9:
                     label[a[0]] = label[b[0]] = min(label[a[0]], label[b[0]])
     return label
 
@@ -254,8 +254,7 @@ def test_line_dedup_matches_brute_force(spark):
     places = {}
     for r in found:
         places.setdefault(r.id, []).append((r["first"]["key"], r.pos))
-    hashes = {r.id: r.hash for r in found}
-    label = python_lines([(i, None, norm[i], hashes[i]) for i in norm])
+    label = python_lines(list(norm.items()))
     groups = {}
     for i, at in places.items():
         groups.setdefault(label[i], []).extend(at)
@@ -268,14 +267,20 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 126, 127, 128, 254, 700])
-def test_simhash_is_the_majority_of_word_hashes(spark, n):
-    line = words(n, n)
-    staged = line_dedup._staged(docs(spark, ["..\n" + ", ".join(line).title() + "!"]), "doc_id", "text")
-    rows = line_dedup._occurrences(staged).collect()
-    hashed = [r.h for r in spark.createDataFrame([(w,) for w in line], "w string").select(F.xxhash64("w", F.lit(1)).alias("h")).collect()]
-    want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashed) > n)
-    assert [(r.pos, r.hash & (1 << 64) - 1) for r in rows] == [(1, want)]
+@pytest.mark.parametrize("n", [1, 2, 7, 14, 15])
+def test_simhash_is_the_majority_of_hashes(spark, n):
+    values = [int(v) for v in np.random.default_rng(n).integers(-(1 << 63), 1 << 63, n)]
+    got = spark.createDataFrame([(values,)], "v array<bigint>").select(line_dedup.simhash(F.col("v"))).first()[0]
+    assert got == sum(1 << bit for bit in range(60) if 2 * sum(v >> bit & 1 for v in values) > n)
+
+
+def test_an_edit_moves_cuts_near_it_only(spark):
+    values = [int(v) for v in np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 400)]
+    edited = values[:200] + [7] + values[201:]
+    rows = spark.createDataFrame([(v,) for v in (values, edited, [4] * 400, values[:1])], "v array<bigint>")
+    one, other, same, single = [r[0] for r in rows.select(line_dedup._pieces("v")).collect()]
+    assert sum(one, []) == values and sum(other, []) == edited and same == [[4] * 400] and single == [values[:1]]
+    assert 40 < len(one) < 130 and min(map(len, one)) >= 3 and len([p for p in one if p not in other]) <= 3
 
 
 def test_shared_ends_do_not_change_verdicts(spark):
@@ -313,7 +318,7 @@ def linked_recall(spark, frame, longest=800):
     """How many pairs of near lines there are, and which part of them has one label."""
     staged = line_dedup._staged(frame, "doc_id", "text")
     found = corpus_pipeline.materialize(line_dedup._occurrences(staged), "found")
-    label = {r.id: r.label for r in line_dedup.line_groups(staged, found, sketches=True).collect()}
+    label = {r.id: r.label for r in line_dedup.line_groups(staged, found).collect()}
     line = F.element_at(F.split("text", "\n"), F.col("pos") + 1)
     norms = staged.join(found, "row").select("id", F.array_join(line_dedup.words_of(line), " ").alias("norm")).distinct()
     pairs = near_by_edits(spark, [tuple(r) for r in norms.where(F.length("norm") <= longest).collect()])

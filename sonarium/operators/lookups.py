@@ -113,15 +113,25 @@ def cut_features(df: DataFrame, features: str, start_ms: str = "chunk_start", en
     )
 
 
-def attach_samples(windows: DataFrame, audio: DataFrame, length: int, name: str = "path") -> DataFrame:
+def attach_samples(windows: DataFrame, audio: DataFrame, length: int, name: str = "path", mode: str = "fail",
+                   known: DataFrame | None = None) -> DataFrame:
     """Samples of every indexed window (``start_sample``, constant ``length``) of the decoded audio.
 
+    A window of a recording that the audio does not have (or of none) is an error, or stays with a NULL ``window`` with
+    ``mode='null'``. Windows that run past the end of a recording are left out. ``known`` names the recordings where a
+    list is cheaper than reading ``audio`` once more for its names.
+
     Audio is cut into tiles of ``2 * length`` samples every ``length`` samples, so each window lies in
     exactly one tile, the join never copies a whole recording per window, and a recording with very
-    many windows spreads over its tiles. Windows that run past the end are left out.
+    many windows spreads over its tiles.
     """
     step = F.lit(length)
     located = windows.withColumn("_tile", F.floor(F.col("start_sample") / step).cast("bigint"))
+    names = (audio if known is None else known).select(name).distinct().withColumn("_known", F.lit(True))
+    located = located.join(names, name, "left")
+    if mode == "fail":
+        missing = F.raise_error(F.concat(F.lit("no audio for "), F.coalesce(F.col(name).cast("string"), F.lit("NULL"))))
+        located = located.withColumn("_known", F.coalesce("_known", missing.cast("boolean")))
     count = F.floor((F.col("frames") - 1) / step).cast("bigint")
     tiles = (
         audio.filter(F.col("frames") > 0)
@@ -134,10 +144,11 @@ def attach_samples(windows: DataFrame, audio: DataFrame, length: int, name: str
     )
     start = F.pmod(F.col("start_sample"), step).cast("int") + 1
     return (
-        located.join(tiles, [name, "_tile"])
+        located.join(tiles, [name, "_tile"], "left")
         .withColumn("window", F.slice("_part", start, F.lit(length)))
-        .filter(F.size("window") == length)
-        .drop("_tile", "_part")
+        # asked of every row, so that a missing recording cannot be filtered away unseen
+        .filter((F.size("window") == length) | F.col("_known").isNull())
+        .drop("_tile", "_part", "_known")
     )
 
 

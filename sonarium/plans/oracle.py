@@ -406,6 +406,10 @@ SELECT user_id, ts, count(*)::INTEGER AS n, round(sum(value * i), 4) AS checksum
     "stream_clip_join": f"""
 WITH {_STAMPED} SELECT a.user_id, a.event_id AS trigger_id, b.event_id FROM st a JOIN st b ON a.user_id = b.user_id
   AND b.us BETWEEN a.us - {12 * HOUR * 1000} AND a.us + {24 * HOUR * 1000} WHERE a.event_type = 'purchase' AND a.value >= 100""",
+    "stream_silent": f"""
+WITH beats AS (SELECT user_id::BIGINT AS user_id, epoch_us(ts) // 1000 AS t FROM events WHERE user_id IS NOT NULL),
+gaps AS (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS gap FROM beats)
+SELECT user_id, t AS last_seen, t + {60 * HOUR} AS silent_at FROM gaps WHERE gap IS NULL OR gap > {60 * HOUR}""",
     "stream_last_seen": "SELECT user_id, epoch_us(max(ts)) // 1000 AS last_seen FROM events GROUP BY user_id",
 }
 

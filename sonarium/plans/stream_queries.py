@@ -13,7 +13,7 @@ from sonarium.operators.ordered import with_ordinal
 from sonarium.plans import canonical as c
 from sonarium.session import work_dir
 from sonarium.sources.streams import match_trigger, run_to_table, stream_chunks, stream_files
-from sonarium.streaming import detector, reorder, windows
+from sonarium.streaming import detector, reorder, silence, windows
 
 Spark = SparkSession
 
@@ -134,6 +134,18 @@ def stream_last_seen(spark: Spark, d: str) -> DataFrame:
     return run_to_table(out, "last_seen", mode="complete").select("user_id", *_ms("last_seen"))
 
 
+#: A user without events for longer than this is silent.
+SILENCE_MS = 60 * c.HOUR
+
+
+def stream_silent(spark: Spark, d: str) -> DataFrame:
+    """Every silence of a user, and those that last at the end."""
+    rows, close = _with_closing(spark, d, "9 DAYS")
+    beats = rows.select(F.coalesce("user_id", F.lit(-1)).cast("bigint").alias("user_id"), "ts")  # -1 closes the stream
+    out = silence.silent_stream(beats, SILENCE_MS, "user_id")
+    return run_to_table(out, "silent", close=close).where("user_id <> -1")
+
+
 #: How late events may come, and into how many arrivals they are cut.
 DELAY_MS = 6 * c.HOUR
 ARRIVALS = 4
@@ -238,6 +250,6 @@ STREAMS = {
     for f in (
         stream_triggers, stream_cooldown, stream_detect, stream_throttle, stream_tumbling, stream_sliding,
         stream_sessions, stream_dedup, stream_rechunk, stream_clip_join, stream_last_seen, stream_reorder, stream_late,
-        stream_reorder_cooldown, stream_template, stream_energy,
+        stream_reorder_cooldown, stream_template, stream_energy, stream_silent,
     )
 }

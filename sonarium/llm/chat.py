@@ -18,11 +18,17 @@ ROLES = ("system", "user", "assistant")
 MARKERS = {"system": ("system", "context", "note"), "user": ("user", "human", "q", "question"), "assistant": ("assistant", "ai", "bot", "a", "answer")}
 _MARKER = r"^\s*([A-Za-z]{1,9})\s*:\s?"
 _LENGTHS = 12
-#: 4 kinds of marker, blank line before or not, ends with a question mark or not, length class.
-SYMBOLS = 4 * 2 * 2 * _LENGTHS
-#: A state is a role and whether the line begins a turn (even) or goes on with one (odd).
-STATES = 2 * len(ROLES)
+#: 4 kinds of marker, ends with a question mark or not, length class (0: a blank line).
+SYMBOLS = 4 * 2 * _LENGTHS
+#: What a line does: it begins a turn, goes on with one, or is the blank between a turn and the next. A state is a role
+#: and one of these; the role of a gap is that of the turn before.
+BEGIN, INSIDE, GAP = KINDS = range(3)
+STATES = len(KINDS) * len(ROLES)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Bytes of a transcript in one row; a longer one goes on in further rows.
+PIECE_BYTES = 1 << 20
+#: Bytes of turns that one task puts into order.
+PART_BYTES = 64 << 20
 
 
 def _marker_kind(line: Column) -> Column:
@@ -34,11 +40,11 @@ def _marker_kind(line: Column) -> Column:
     return kind
 
 
-def symbol(line: Column, blank_before: Column) -> Column:
+def symbol(line: Column) -> Column:
     """What the model observes of a line."""
-    length = F.least(F.floor(F.log2(F.length(line) + 1)).cast("int"), F.lit(_LENGTHS - 1))
+    length = F.least(F.floor(F.log2(F.length(F.trim(line)) + 1)).cast("int"), F.lit(_LENGTHS - 1))
     asks = F.rtrim(line).endswith("?").cast("int")
-    return (((_marker_kind(line) * 2 + blank_before.cast("int")) * 2 + asks) * _LENGTHS + length).cast("int")
+    return ((_marker_kind(line) * 2 + asks) * _LENGTHS + length).cast("int")
 
 
 @dataclass(frozen=True)
@@ -49,26 +55,31 @@ class Model:
 
 
 def prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pseudo-counts that let markers decide where nothing was learned; no role follows itself but by going on."""
+    """Pseudo-counts that let markers decide where nothing was learned; no role follows itself but by going on.
+
+    Zeros are impossible: to go on with a turn that has not begun or that a gap has ended, and gaps with text.
+    """
     start, step, emit = np.full(STATES, 0.1), np.full((STATES, STATES), 0.1), np.full((STATES, SYMBOLS), 0.05)
-    start[0::2] += 1
+    role, kind = np.divmod(np.arange(STATES), len(KINDS))
+    start[kind == BEGIN] += 1
+    start[kind == INSIDE] = 0
+    same = role[:, None] == role
+    text, begin, inside, gap = kind[:, None] != GAP, kind == BEGIN, kind == INSIDE, kind == GAP
+    step[text & same & inside] += 1
+    step[text & ~same & begin] += 0.5
+    step[text & same & gap] += 0.5
+    step[~text & ~same & begin] += 1
+    step[(~text | ~same) & inside] = 0
+    step[~same & gap] = 0
+    emit[gap] = 0
+    emit[gap, 0] = 1
     for r in range(len(ROLES)):
-        step[2 * r, 2 * r + 1] += 1
-        step[2 * r + 1, 2 * r + 1] += 1
-        for other in range(len(ROLES)):
-            if other != r:
-                step[2 * r : 2 * r + 2, 2 * other] += 0.5
-        emit[2 * r, (r + 1) * 4 * _LENGTHS : (r + 2) * 4 * _LENGTHS] += 1
-    for r in range(len(ROLES)):  # nobody goes on with a turn into another role's line
-        for other in range(len(ROLES)):
-            if other != r:
-                step[2 * r : 2 * r + 2, 2 * other + 1] = 1e-9
-    start[1::2] = 1e-9
+        emit[len(KINDS) * r + BEGIN, (r + 1) * 2 * _LENGTHS : (r + 2) * 2 * _LENGTHS] += 1
     return start, step, emit
 
 
 def train(lines: DataFrame) -> Model:
-    """Count states over ``conv, turn, n, symbol, role`` with known roles (n: the line's number in its turn, from 0).
+    """Count states over ``conv, turn, n, symbol, role, kind`` with known roles (:func:`known_lines`).
 
     Lines within a turn follow one another; between turns a step is counted where turn numbers follow one another. The
     driver gets counts of states, symbols and steps only.
@@ -76,20 +87,28 @@ def train(lines: DataFrame) -> Model:
     number = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int")
     known = lines.where(F.coalesce(number, F.lit(0)) > 0).withColumn("r", number - 1)
     start, step, emit = prior()
-    for row in known.groupBy("r", (F.col("n") > 0).alias("inside"), "symbol").count().collect():
-        emit[2 * row.r + row.inside, row.symbol] += row["count"]
-    turns = known.groupBy("conv", "turn").agg(F.max("r").alias("r"), F.max("n").alias("last"))
+    kinds = len(KINDS)
+    for row in known.where(F.col("kind") != GAP).groupBy("r", "kind", "symbol").count().collect():
+        emit[kinds * row.r + row.kind, row.symbol] += row["count"]
+    last = F.count_if(F.col("kind") == INSIDE)
+    turns = known.groupBy("conv", "turn").agg(F.max("r").alias("r"), last.alias("last"), F.max((F.col("kind") == GAP).cast("int")).alias("gap"))
     shape = turns.groupBy("r").agg(F.sum((F.col("last") > 0).cast("bigint")).alias("some"), F.sum(F.greatest(F.col("last") - 1, F.lit(0))).alias("more"))
     for row in shape.collect():
-        step[2 * row.r, 2 * row.r + 1] += row.some
-        step[2 * row.r + 1, 2 * row.r + 1] += row.more
-    after = turns.select("conv", (F.col("turn") - 1).alias("turn"), F.col("r").alias("s"))
-    for row in turns.join(after, ["conv", "turn"]).groupBy("r", (F.col("last") > 0).alias("inside"), "s").count().collect():
-        if row.s != row.r:
-            step[2 * row.r + row.inside, 2 * row.s] += row["count"]
+        step[kinds * row.r + BEGIN, kinds * row.r + INSIDE] += row.some
+        step[kinds * row.r + INSIDE, kinds * row.r + INSIDE] += row.more
+    after = turns.select("conv", (F.col("turn") - 1).alias("turn"), F.col("r").alias("s"), F.col("gap").alias("parted"))
+    for row in turns.join(after, ["conv", "turn"]).groupBy("r", (F.col("last") > 0).alias("inside"), "s", "parted").count().collect():
+        if row.s == row.r:
+            continue
+        state, gap, begin = kinds * row.r + (INSIDE if row.inside else BEGIN), kinds * row.r + GAP, kinds * row.s + BEGIN
+        if row.parted:
+            step[state, gap] += row["count"]
+            state = gap
+        step[state, begin] += row["count"]
     for row in turns.where("turn = 0").groupBy("r").count().collect():
-        start[2 * row.r] += row["count"]
-    return Model(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)))
+        start[kinds * row.r + BEGIN] += row["count"]
+    with np.errstate(divide="ignore"):
+        return Model(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)))
 
 
 def viterbi(model: Model, symbols: np.ndarray, first: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
@@ -116,149 +135,188 @@ def passage(model: Model, symbols: np.ndarray) -> np.ndarray:
     return score
 
 
-def _fragments(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The rows of a part in order, their symbols, and where each conversation begins."""
-    table = table.sort_by([("conv_null", "ascending"), ("conv", "ascending"), ("turn", "ascending"), ("n", "ascending"), ("line", "ascending")])
-    conv = table.column("conv").to_pylist()
-    begin = [i for i in range(len(conv)) if i == 0 or conv[i] != conv[i - 1]]
-    return table, table.column("symbol").to_numpy(), np.array(begin + [len(conv)])
+_EDGE_SCHEMA = "conv string, piece bigint, score binary"
+_JOINT_SCHEMA = "conv string, piece bigint, before int, begin int, last int, after int"
+_OUT_SCHEMA = "conv string, piece bigint, n bigint, role string, begins boolean, gap boolean, rendered string"
 
 
-_EDGE_SCHEMA = "part int, place int, conv string, score binary"
+def _edges(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [passage(model, np.array(symbols, np.int64)).tobytes() for symbols in batch.column("symbols").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("piece"), pa.array(scores, pa.binary())], ["conv", "piece", "score"])
 
+    return run
+
+
+def _joints(model: Model):
+    """For each piece of a conversation the states of its first and last line, and those of their neighbours."""
 
-def _edges(model: Model):
     def run(table: pa.Table) -> pa.Table:
-        table, symbols, begin = _fragments(table)
-        rows = []
-        for place, at in dict.fromkeys([(0, 0), (1, len(begin) - 2)]):
-            part = slice(begin[at], begin[at + 1])
-            rows.append((table.column("part")[0].as_py(), place, table.column("conv")[int(begin[at])].as_py(), passage(model, symbols[part]).tobytes()))
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("part", "place", "conv", "score"), zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.binary()))})
+        table = table.sort_by("piece")
+        places = table.column("piece").to_pylist()
+        if len(set(places)) < len(places):
+            raise ValueError("a piece of a transcript comes twice")
+        scores = [np.frombuffer(score).reshape(STATES, STATES) for score in table.column("score").to_pylist()]
+        reach, ways = model.start, []
+        for i, score in enumerate(scores):
+            via = reach[:, None] + model.step if i else np.diag(reach) + np.where(np.eye(STATES) > 0, 0, -np.inf)
+            whole = via.max(0)[:, None] + score
+            ways.append((via.argmax(0), whole.argmax(0)))
+            reach = whole.max(0)
+        last, after, rows = int(reach.argmax()), None, []
+        for i in range(len(scores) - 1, -1, -1):
+            begin = int(ways[i][1][last])
+            before = int(ways[i][0][begin]) if i else None
+            rows.append((before, begin, last, after))
+            last, after = before, begin
+        states = [pa.array(v, pa.int32()) for v in zip(*reversed(rows))]
+        return pa.table([table.column("conv"), table.column("piece"), *states], ["conv", "piece", "before", "begin", "last", "after"])
 
     return run
 
 
-def _joints(model: Model, edges: list) -> dict[int, tuple[int | None, int | None, int | None]]:
-    """For each part: the state before its first line and at and after its last, where a conversation crosses."""
-    parts = sorted({e.part for e in edges})
-    edge = {(e.part, e.place): (e.conv, np.frombuffer(e.score).reshape(STATES, STATES)) for e in edges}
-    whole = {p for p in parts if edge[p, 0][0] == edge[p, 1][0]}
-    out = {p: [None, None, None] for p in parts}
-    i = 0
-    while i < len(parts):
-        # A chain: from a part's last fragment through parts of one conversation to a first fragment.
-        chain = [parts[i]]
-        while i + 1 < len(parts) and edge[parts[i], 1][0] == edge[parts[i + 1], 0][0]:
-            chain.append(parts[i + 1])
-            i += 1
-            if parts[i] not in whole:
-                break
-        else:
-            i += 1
-        if len(chain) < 2:
+def _only(state: int) -> np.ndarray:
+    return np.where(np.arange(STATES) == state, 0.0, -np.inf)
+
+
+def _render(lines: list[str], cut: list[str | None], path: np.ndarray, after: int | None) -> list[str]:
+    """The canonical form, line by line; ``after`` is the state of the line that follows in another piece."""
+    kinds = path % len(KINDS)
+    follows = np.append(kinds[1:], BEGIN if after is None else after % len(KINDS))
+    out = []
+    for line, bare, role, kind, then in zip(lines, cut, path // len(KINDS), kinds, follows):
+        if kind == GAP:
+            out.append("")
             continue
-        scores = [edge[p, 1 if k == 0 else 0][1] for k, p in enumerate(chain)]
-        reach = (model.start[:, None] + scores[0]).max(0)
-        best = [reach]
-        ways = []
-        for score in scores[1:]:
-            via = reach[:, None] + model.step
-            ways.append((via.argmax(0), via.max(0)[:, None] + score))
-            reach = ways[-1][1].max(0)
-            best.append(reach)
-        state = int(best[-1].argmax())
-        for k in range(len(chain) - 1, 0, -1):
-            begin = int(ways[k - 1][1][:, state].argmax())
-            before = int(ways[k - 1][0][begin])
-            out[chain[k]][0] = before
-            if k < len(chain) - 1:
-                out[chain[k]][1] = state
-            out[chain[k - 1]][1], out[chain[k - 1]][2] = before, begin
-            state = before
-        # The chain may go on where a part was whole; its last part's own last fragment is another conversation.
-    return {p: tuple(v) for p, v in out.items()}
-
-
-_OUT_SCHEMA = "conv string, turn bigint, n bigint, role string, begins boolean, rendered string"
-
-
-def _decode(model: Model, joints: dict):
-    def run(table: pa.Table) -> pa.Table:
-        table, symbols, begin = _fragments(table)
-        before, at_last, after = joints[table.column("part")[0].as_py()]
-        lines, kinds = table.column("line").to_pylist(), table.column("marked").to_pylist()
-        states = np.empty(len(symbols), np.int64)
-        closes = np.zeros(len(symbols), bool)
-        for i in range(len(begin) - 1):
-            part = slice(begin[i], begin[i + 1])
-            first = model.start if i or before is None else model.step[before]
-            last = None
-            if i == len(begin) - 2 and at_last is not None:
-                last = np.where(np.arange(STATES) == at_last, 0.0, -np.inf)
-            states[part] = viterbi(model, symbols[part], first, last)
-            path = states[part]
-            closes[begin[i] : begin[i + 1] - 1] = path[1:] % 2 == 0
-            closes[begin[i + 1] - 1] = i < len(begin) - 2 or after is None or after % 2 == 0
-        begins = states % 2 == 0
-        begins[begin[:-1]] |= (np.arange(len(begin) - 1) > 0) | (before is None)
-        rendered = []
-        for line, cut, role, opens, shuts in zip(lines, kinds, states // 2, begins, closes):
-            body = cut if opens and cut is not None else line
-            rendered.append(f"{OPEN}{ROLES[role]}\n{body}" * bool(opens) + f"\n{body}" * (not opens) + f"{CLOSE}\n" * bool(shuts))
-        return pa.table({
-            "conv": table.column("conv"), "turn": table.column("turn"), "n": table.column("n"), "role": pa.array([ROLES[s // 2] for s in states], pa.string()),
-            "begins": pa.array(begins, pa.bool_()), "rendered": pa.array(rendered, pa.string()),
-        })
+        text = f"{OPEN}{ROLES[role]}\n{line if bare is None else bare}" if kind == BEGIN else f"\n{line}"
+        out.append(text + f"{CLOSE}\n" * bool(then != INSIDE))
+    return out
+
+
+def _decode(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["conv", "piece", "lines", "symbols", "cut", "before", "begin", "last", "after"]).to_pylist():
+                first = model.start if row["before"] is None else model.step[row["before"]]
+                if row["begin"] is not None:
+                    first = first + _only(row["begin"])
+                path = viterbi(model, np.array(row["symbols"], np.int64), first, None if row["last"] is None else _only(row["last"]))
+                n, kinds = len(path), path % len(KINDS)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["conv"]] * n, pa.string()), pa.array([row["piece"]] * n, pa.int64()), pa.array(range(n), pa.int64()),
+                    pa.array([ROLES[r] for r in path // len(KINDS)], pa.string()), pa.array(kinds == BEGIN), pa.array(kinds == GAP),
+                    pa.array(_render(row["lines"], row["cut"], path, row["after"]), pa.string()),
+                ], ["conv", "piece", "n", "role", "begins", "gap", "rendered"])
 
     return run
 
 
-def parse(lines: DataFrame, model: Model, parts: int | None = None) -> DataFrame:
-    """``conv, turn, n, role, begins, rendered`` for every line ``conv, turn, n, line, symbol``.
+def parse(texts: DataFrame, model: Model) -> DataFrame:
+    """``conv, piece, n, role, begins, gap, rendered`` for every line of raw transcripts ``conv, text``.
 
-    Lines of a conversation are ordered by turn, number and text. The canonical form of a conversation is its
-    ``rendered`` pieces in that order: a turn opens with its role, its marker is taken off, and it is closed.
+    Only the text is read: its lines, markers and blank lines. A transcript too long for one row goes on in rows with a
+    larger ``piece`` (a number; without that column every row is a transcript's whole text), cut between lines. The
+    canonical form of a conversation is its ``rendered`` lines by piece and ``n``: a turn opens with its role, its marker
+    is taken off, and it is closed; gaps between turns vanish, blank lines within a turn stay.
 
-    All lines are dealt in order to parts of even size, so that one long conversation spreads over parts. For each part
-    the best scores between the states at its ends are computed; a chain of these small tables fixes the states at the
-    borders, and every part is decoded on its own: together they are the best path of each whole conversation. Only
-    one or two such tables per part reach the driver. A null conversation counts as one that comes last; null lines are
-    empty. Repeated rows are lines of their own. An empty table gives no rows.
+    A transcript of one row is decoded by itself. For each piece of the others the best scores between the states at
+    its ends are computed; a chain of these small tables, one task for a conversation, fixes the states at the cuts, so
+    that together the pieces are the best path of the whole. Nothing reaches the driver. Pieces of a null conversation
+    count as one conversation if ``piece`` is given. Rows that repeat conversation and piece are an error. A null text
+    is empty, and an empty one a single blank line. An empty table gives no rows.
     """
-    spark = lines.sparkSession
-    if parts is None:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = lines.select(
-        F.col("conv").isNull().cast("int").alias("conv_null"), "conv", F.col("turn").cast("bigint").alias("turn"), F.col("n").cast("bigint").alias("n"), "line", "symbol",
-        F.when(_marker_kind(F.col("line")) > 0, F.regexp_replace("line", _MARKER, "")).alias("marked"),
-    )
-    order = ["conv_null", "conv", "turn", "n", "line"]
-    rows = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    rows = materialize(rows, "transcripts")
-    edges = rows.groupBy("part").applyInArrow(_edges(model), _EDGE_SCHEMA).collect()
-    return rows.groupBy("part").applyInArrow(_decode(model, _joints(model, edges)), _OUT_SCHEMA)
-
-
-def transcripts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Plain transcripts of turns, line by line, in one of four styles by conversation: three sets of speaker markers,
-    or no markers and a blank line between turns. Roles other than the three have no marker."""
-    style = F.pmod(F.crc32(F.coalesce(F.col("conv"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
+    piece = F.col("piece").cast("bigint") if "piece" in texts.columns else F.lit(None).cast("bigint")
+    rows = texts.select(F.col("conv").cast("string").alias("conv"), piece.alias("piece"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    bare = F.transform("lines", lambda line: F.when(_marker_kind(line) > 0, F.regexp_replace(line, _MARKER, "")))
+    rows = rows.select("*", F.transform("lines", symbol).alias("symbols"), bare.alias("cut"))
+    if "piece" not in texts.columns:
+        none = [F.lit(None).cast("int").alias(c) for c in ("before", "begin", "last", "after")]
+        return rows.withColumn("piece", F.lit(0).cast("bigint")).select("*", *none).mapInArrow(_decode(model), _OUT_SCHEMA)
+    many = rows.groupBy("conv").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("conv").alias("many"))
+    parted = rows.select("conv", "piece", "symbols").join(many, F.col("conv").eqNullSafe(F.col("many")), "left_semi")
+    joints = parted.mapInArrow(_edges(model), _EDGE_SCHEMA).groupBy("conv").applyInArrow(_joints(model), _JOINT_SCHEMA)
+    joints = materialize(joints, "joints").withColumnsRenamed({"conv": "conv_", "piece": "piece_"})
+    joined = rows.join(joints, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("piece") == F.col("piece_")), "left")
+    return joined.drop("conv_", "piece_").mapInArrow(_decode(model), _OUT_SCHEMA)
+
+
+def _entries(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """``conv, turn, role, gap, entry``: what a turn adds to a transcript, in one of four styles by conversation: three
+    sets of speaker markers, the second with a blank line between turns, or a blank line and no markers. Roles other than the
+    three have no marker. Null texts are empty."""
+    # Not the hash that holds conversations out: else a style would be held out of the training.
+    style = F.pmod(F.xxhash64(F.coalesce(F.col("conv"), F.lit(""))), F.lit(4)).cast("int")
     marker = F.lit("")
     for i, name in enumerate(ROLES):
         names = F.array(*[F.lit(f"{MARKERS[name][s].capitalize()}: ") for s in range(3)], F.lit(""))
         marker = F.when(F.col("role") == name, F.element_at(names, style + 1)).otherwise(marker)
-    rows = turns.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("marker", marker).withColumn("blank", (style == 3) & (F.col("turn") > 0))
-    lines = rows.select("conv", "turn", "role", "marker", "blank", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    first = F.col("n") == 0
-    line = F.when(first, F.concat("marker", "line")).otherwise(F.col("line"))
-    return lines.select("conv", "turn", "n", "role", line.alias("line"), symbol(line, first & F.coalesce("blank", F.lit(False))).alias("symbol"))
+    rows = turns.select(
+        F.col(conv).cast("string").alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
+    rows = rows.withColumn("style", style).withColumn("gap", F.col("style").isin(1, 3) & (F.coalesce("turn", F.lit(1)) > 0))
+    return rows.select("conv", "turn", "role", "style", "gap", F.concat(F.when(F.col("gap"), "\n").otherwise(""), marker, "text").alias("entry"))
+
+
+def known_lines(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``conv, turn, n, role, style, kind, line, symbol``: the lines of the transcripts with what they are, to learn from."""
+    rows = _entries(turns, conv, turn, role, text)
+    rows = rows.select("conv", "turn", "role", "style", "gap", F.posexplode(F.split("entry", "\n")).alias("n", "line"))
+    place = F.col("n") - F.col("gap").cast("int")
+    kind = F.when(place < 0, GAP).when(place == 0, BEGIN).otherwise(INSIDE)
+    return rows.select("conv", "turn", "n", "role", "style", kind.alias("kind"), "line", symbol(F.col("line")).alias("symbol"))
+
+
+def _pieces(most: int):
+    """Transcripts from the entries of a task in order: a row ends with its conversation, or where it is long enough."""
+    names = ["conv", "piece", "text"]
+
+    def row(conv: str | None, part: int, number: int, entries: list[str]) -> pa.RecordBatch:
+        place = pa.array([(part << 32) + number], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([conv], pa.string()), place, pa.array(["\n".join(entries)], pa.string())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number, conv, part = [], 0, 0, None, 0
+        for batch in batches:
+            for new, part, entry in zip(*(batch.column(c).to_pylist() for c in ("conv", "part", "entry"))):
+                if held and (new != conv or size >= most):
+                    yield row(conv, part, number, held)
+                    held, size, number = [], 0, number + 1
+                conv = new
+                held.append(entry)
+                size += len(entry.encode()) + 1
+        if held:
+            yield row(conv, part, number, held)
+
+    return run
+
+
+def transcripts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                piece_bytes: int = PIECE_BYTES, parts: int | None = None) -> DataFrame:
+    """``conv, piece, text``: plain transcripts of turns, in the styles of :func:`_entries`.
+
+    Turns are put into order once, by conversation, number, role and text, over as many parts as their bytes need. A
+    conversation is one row unless it is longer than ``piece_bytes`` or a part ends within it; then it goes on in a row
+    with a larger ``piece``, so that no task holds a hot conversation. A turn stays whole. Repeated rows are turns of
+    their own. A null conversation comes last.
+    """
+    rows = _entries(turns, conv, turn, role, text)
+    if parts is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("entry")), F.lit(0))).first()[0]
+        parts = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    # Rows that are all alike differ in the last number only: they too may lie in several parts.
+    rows = rows.withColumn("last", F.col("conv").isNull()).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    order = ["last", "conv", "turn", "role", "entry", "spread"]
+    rows = rows.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
+    rows = rows.select("conv", F.spark_partition_id().alias("part"), "entry")
+    return rows.mapInArrow(_pieces(piece_bytes), "conv string, piece bigint, text string")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as plain transcripts, parsed back into turns with roles and rendered; a quarter held out."""
-    lines = transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations as plain transcripts, parsed back from their text into turns with roles and rendered; a quarter
+    held out of the training."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     held_out = fold(F.col("conv"), 4) == 2
-    model = train(lines.where(~held_out))
-    return parse(lines, model).withColumn("held_out", held_out).withColumnRenamed("conv", "conv_id")
+    model = train(known_lines(turns).where(~held_out))
+    texts = materialize(transcripts(turns), "transcripts")
+    return parse(texts, model).withColumn("held_out", held_out).withColumnRenamed("conv", "conv_id")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sonarium.llm import bpe, chat, exact_dedup, graph, hashing, language_id, line_dedup, mixing, ngram_join, quality, substring_dedup, topk_search
+from sonarium.llm import bpe, exact_dedup, graph, hashing, language_id, line_dedup, mixing, ngram_join, quality, substring_dedup, topk_search
 from sonarium.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -380,34 +380,6 @@ def test_bpe_equals_the_library(spark):
     assert [(r.key, r.n_tokens, r.decoded) for r in rows] == [(0, 0, ""), (1, 0, ""), (2, 1, "hello")]
 
 
-def test_chat_parts_do_not_matter_and_viterbi_is_best(spark):
-    turns = spark.read.parquet(f"{SF}/conversations.parquet")
-    long = spark.range(120).select(F.lit(99_999).cast("bigint").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
-                                   F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("Some words here.\nAnd more of them").alias("text"))
-    odd = spark.createDataFrame([(None, 0, None, None), (None, 1, "user", "hi?")], "conv_id bigint, turn bigint, role string, text string")
-    lines = chat.transcripts(turns.unionByName(long).unionByName(odd))
-    model = chat.train(lines)
-    one = {tuple(r) for r in chat.parse(lines, model, 1).collect()}
-    many = {tuple(r) for r in chat.parse(lines, model, 40).collect()}
-    assert one == many and len(one) == lines.distinct().count()
-    random = np.random.default_rng(5)
-    symbols = random.integers(0, chat.SYMBOLS, 5)
-    def value(path):
-        return model.start[path[0]] + model.emit[path, symbols].sum() + sum(model.step[a, b] for a, b in zip(path, path[1:]))
-    import itertools
-    best = max(value(list(p)) for p in itertools.product(range(chat.STATES), repeat=5))
-    assert np.isclose(value(chat.viterbi(model, symbols, model.start)), best)
-    assert chat.parse(lines.where("false"), model).count() == 0
-
-
-def test_chat_recovers_roles(spark):
-    sf = "/root/testdata/sf0.01"
-    got = QUERIES["op10_chat_format"](spark, sf).toPandas()
-    truth = chat.transcripts(spark.read.parquet(f"{sf}/conversations.parquet")).toPandas().rename(columns={"conv": "conv_id", "role": "truth"})
-    held = got.merge(truth, on=["conv_id", "turn", "n"]).query("held_out")
-    assert (held.role == held.truth).mean() > 0.9 and (held.begins == (held.n == 0)).mean() > 0.95
-
-
 def test_line_stage_drops_documents_left_blank(spark):
     line = " ".join(words(20, 9))
     texts = [line, f"{line}\n\n\n \t\n{line}", f"{line}\n***", " \n", None]

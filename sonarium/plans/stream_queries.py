@@ -160,7 +160,7 @@ def _arrivals(spark: Spark, events: DataFrame) -> str:
     step = ((high or 0) - (low or 0)) // ARRIVALS + 1
     for i in range(ARRIVALS):
         part = rows.where(F.floor((F.col("_arrival") - F.lit(low)) / F.lit(step)) == i)
-        part.drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+        part.drop("_arrival").repartition(1).write.mode("append").parquet(folder)
     _tick(events, "2 DAYS").write.mode("append").parquet(folder)
     return folder
 
@@ -184,7 +184,7 @@ def stream_reorder(spark: Spark, d: str) -> DataFrame:
     folder = _arrivals(spark, events.where("event_type <> 'error'"))
 
     def close() -> None:
-        events.where("event_type = 'error'").unionByName(_tick(events, "9 DAYS")).coalesce(1).write.mode("append").parquet(folder)
+        events.where("event_type = 'error'").unionByName(_tick(events, "9 DAYS")).repartition(1).write.mode("append").parquet(folder)
 
     found = run_to_table(_reordered(spark, folder, events.schema), "reorder", close=close).where("user_id <> -1")
     return found.select(F.col("seq").alias("event_id"), "user_id", "position", "late")

@@ -61,7 +61,16 @@ def collector_settings(chunk_ms: int = 500, buffer_minutes: float = 5.0, post_se
     )
 
 
-POSITION = "last_seq bigint, accepted_ms bigint, blind_until bigint, first_seq bigint, warm_left int, counted int, triggered boolean"
+#: What is known of a device.
+POSITION = [
+    T.StructField(name, kind)
+    for name, kind in (
+        ("last_seq", T.LongType()), ("accepted_ms", T.LongType()), ("blind_until", T.LongType()), ("first_seq", T.LongType()),
+        ("warm_left", T.IntegerType()), ("counted", T.IntegerType()), ("triggered", T.BooleanType()),
+    )
+]
+#: Devices share state in so many buckets: a call to the state costs far more than a chunk.
+BUCKETS = 128
 
 
 def _events_type(key_type: T.DataType) -> T.StructType:
@@ -79,71 +88,72 @@ def _events_type(key_type: T.DataType) -> T.StructType:
 
 
 class ChunkDetector(StatefulProcessor):
-    """Warm-up, manual triggers, threshold, cooldown and clip bounds over scored chunks.
+    """Warm-up, manual triggers, threshold, cooldown and clip bounds over scored chunks, for a bucket of devices.
 
     Emits one row per detection or manual trigger. A clip is named by its chunk numbers
-    ``clip_from..clip_to``; its bytes are joined from the stored chunks, so state holds a few numbers and no sound.
-    After a saved event the device is blind for the post chunks.
+    ``clip_from..clip_to``; its bytes are joined from the stored chunks, so state holds a few numbers for each device and
+    no sound. After a saved event the device is blind for the post chunks.
     """
 
-    def __init__(self, settings: DetectorSettings):
-        self.settings = settings
+    def __init__(self, settings: DetectorSettings, key_type: T.DataType):
+        self.settings, self.key_type = settings, key_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.position = handle.getValueState("position", POSITION)
+        devices = T.ArrayType(T.StructType([T.StructField("device_id", self.key_type), *POSITION]))
+        self.positions = handle.getValueState("positions", T.StructType([T.StructField("devices", devices)]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = self.settings
-        # the rows of one device in one micro-batch: bounded by the source's rate limit
+        # the rows of one bucket in one micro-batch: bounded by the source's rate limit
         batch = pd.concat(list(rows), ignore_index=True)
         batch = batch.sort_values(["ts_ms", "is_trigger", "seq"], ascending=[True, False, True])
-        stored = self.position.get()
-        last_seq, accepted, blind, first_seq, warm_left, counted, triggered = stored or (
-            None, None, None, None, s.warm_up, 0, False,
-        )
+        stored = self.positions.get()
+        positions = {device: place for device, *place in stored[0]} if stored else {}
         found = []
-        for row in batch.itertuples(index=False):
-            if row.is_trigger:
-                triggered = True
-                continue
-            seq, now = int(row.seq), int(row.ts_ms)
-            if last_seq is not None and seq <= last_seq:
-                if not row.is_reset:
-                    if s.report_late:
-                        found.append((key[0], seq, now, None, "late", None, None))
-                    continue
-                # The device counts anew: chunk numbers of the past mean nothing from here on.
-                last_seq, blind, first_seq = None, None, None
-            if last_seq is not None and seq > last_seq + 1 or row.is_reset:
-                warm_left, counted, first_seq = s.warm_up, 0, None if warm_left else first_seq
-            last_seq = seq
-            if warm_left > 0 and not (blind is not None and seq <= blind):
-                warm_left -= 1
-                continue
-            first_seq = seq if first_seq is None else first_seq
-            if blind is not None and seq <= blind:
-                continue
-            source, score = None, None
-            if triggered:
-                triggered = False
-                if not s.save:
-                    continue
-                source = "manual"
-            elif s.scoring:
-                counted += 1
-                if counted % s.every:
-                    continue
-                score = float("-inf") if row.score is None or pd.isna(row.score) else float(row.score)
+        for device, *row in zip(*[batch[n] for n in ("device_id", "seq", "ts_ms", "score", "is_trigger", "is_reset")]):
+            # rows without a device have a bucket of their own
+            device = None if key[0] is None else device
+            known = positions.get(device) or (None, None, None, None, self.settings.warm_up, 0, False)
+            positions[device], event = self._step(known, *row)
+            if event:
+                found.append((device, *event))
+        self.positions.update(([(device, *place) for device, place in positions.items()],))
+        frame = pd.DataFrame(found, columns=["device_id", "seq", "ts_ms", "score", "source", "clip_from", "clip_to"])
+        yield frame.astype({"seq": "int64", "ts_ms": "int64", "score": "float64", "clip_from": "Int64", "clip_to": "Int64"})
+
+    def _step(self, known: Sequence, seq: int, now: int, given: float | None, is_trigger: bool, is_reset: bool) -> tuple[tuple, tuple | None]:
+        """What is known of a device after a row, and the event that the row makes."""
+        s = self.settings
+        last_seq, accepted, blind, first_seq, warm_left, counted, triggered = known
+        if is_trigger:
+            return (last_seq, accepted, blind, first_seq, warm_left, counted, True), None
+        seq, now = int(seq), int(now)
+        if last_seq is not None and seq <= last_seq:
+            if not is_reset:
+                return known, (seq, now, None, "late", None, None) if s.report_late else None
+            # The device counts anew: chunk numbers of the past mean nothing from here on.
+            last_seq, blind, first_seq = None, None, None
+        if last_seq is not None and seq > last_seq + 1 or is_reset:
+            warm_left, counted, first_seq = s.warm_up, 0, None if warm_left else first_seq
+        if warm_left > 0 and not (blind is not None and seq <= blind):
+            return (seq, accepted, blind, first_seq, warm_left - 1, counted, triggered), None
+        first_seq = seq if first_seq is None else first_seq
+        if blind is not None and seq <= blind:
+            return (seq, accepted, blind, first_seq, warm_left, counted, triggered), None
+        source, score, event = None, None, None
+        if triggered:
+            triggered, source = False, "manual" if s.save else None
+        elif s.scoring:
+            counted += 1
+            if counted % s.every == 0:
+                score = float("-inf") if given is None or pd.isna(given) else float(given)
                 hit = score >= s.threshold if s.inclusive else score > s.threshold
                 if hit and (accepted is None or now - accepted >= s.cooldown_ms):
                     accepted, source = now, s.scorer
-            if source:
-                low, high = (max(first_seq, seq - s.pre_chunks + 1), seq + s.post_chunks) if s.save else (None, None)
-                blind = high if s.save else blind
-                found.append((key[0], seq, now, score, source, low, high))
-        self.position.update((last_seq, accepted, blind, first_seq, warm_left, counted, triggered))
-        frame = pd.DataFrame(found, columns=["device_id", "seq", "ts_ms", "score", "source", "clip_from", "clip_to"])
-        yield frame.astype({"seq": "int64", "ts_ms": "int64", "score": "float64", "clip_from": "Int64", "clip_to": "Int64"})
+        if source:
+            low, high = (max(first_seq, seq - s.pre_chunks + 1), seq + s.post_chunks) if s.save else (None, None)
+            blind = high if s.save else blind
+            event = seq, now, score, source, low, high
+        return (seq, accepted, blind, first_seq, warm_left, counted, triggered), event
 
     def close(self) -> None:
         pass
@@ -182,13 +192,18 @@ def scored_stream(chunks: DataFrame, settings: DetectorSettings) -> DataFrame:
     return window.select("device_id", "seq", "ts", "is_reset", F.when(F.col("window").isNotNull(), score).alias("score"))
 
 
-def detect_stream(chunks: DataFrame, settings: DetectorSettings, triggers: DataFrame | None = None) -> DataFrame:
-    """Detections and manual saves of every device, as a stream."""
+def detect_stream(chunks: DataFrame, settings: DetectorSettings, triggers: DataFrame | None = None,
+                  buckets: int = BUCKETS) -> DataFrame:
+    """Detections and manual saves of every device, as a stream.
+
+    Devices share state in ``buckets`` by a hash; a task holds the rows of a bucket in one micro-batch. More buckets suit
+    more devices; a stream keeps its number for good.
+    """
     rows = detector_input(chunks if settings.scorer == "given" else scored_stream(chunks, settings), triggers)
-    return rows.groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=ChunkDetector(settings),
-        outputStructType=_events_type(rows.schema["device_id"].dataType),
-        outputMode="append",
+    key_type = rows.schema["device_id"].dataType
+    bucket = F.when(F.col("device_id").isNotNull(), F.pmod(F.xxhash64("device_id"), F.lit(buckets)).cast("int"))
+    return rows.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=ChunkDetector(settings, key_type), outputStructType=_events_type(key_type), outputMode="append",
         timeMode="None",
     )
 

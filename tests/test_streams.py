@@ -213,13 +213,13 @@ def test_throttle_over_batches(spark, tmp_path):
     assert got == want
 
 
-def _arrive(spark, tmp_path, name, rows, parts):
+def _arrive(spark, tmp_path, name, rows, parts, **options):
     folder = tmp_path / name
     folder.mkdir()
     schema = "device_id string, seq long, ts timestamp, score double, note string"
     path = _write(spark, folder, rows, schema, parts)
     source = streams.stream_files(spark, path, spark.createDataFrame([], schema).schema, files_per_trigger=1)
-    return reorder.reorder_stream(source, 10_000)
+    return reorder.reorder_stream(source, 10_000, **options)
 
 
 def _moment(ms):
@@ -267,6 +267,22 @@ def test_detector_behind_the_buffer(spark, tmp_path):
         assert [r.seq for r in found if r.device_id == "mic"] == want and len(want) > 5
 
 
+def test_devices_share_buckets(spark, tmp_path):
+    """Two buckets of forty devices: each device has its own order, positions and cooldown."""
+    rng = np.random.default_rng(8)
+    rows = [(f"d{d}", s, _moment(500 * s), float(rng.uniform()), None) for s in range(30) for d in range(40)]
+    shifted = sorted(rows, key=lambda r: r[2] + datetime.timedelta(milliseconds=int(rng.integers(0, 9_900))))
+    source = _arrive(spark, tmp_path, "in", shifted + [("z", 0, _moment(10_000_000), None, None)], 3, buckets=2)
+    chunks = source.where("NOT late AND position = seq + 1").select("device_id", "seq", F.timestamp_millis("ts_ms").alias("ts"), "score")
+    settings = detector.DetectorSettings(scorer="given", threshold=0.7, cooldown_ms=4000, save=False)
+    found = streams.run_to_table(detector.detect_stream(chunks, settings, buckets=2), "shared").collect()
+    want = set()
+    for d in range(40):
+        mine = [(s, 500 * s, score) for name, s, _, score, _ in rows if name == f"d{d}"]
+        want |= {(f"d{d}", r[0]) for r in _loop(mine, settings, [])}
+    assert {(r.device_id, r.seq) for r in found if r.device_id != "z"} == want and len(found) >= len(want) > 40
+
+
 def test_reordering_refuses_names_in_use(spark):
     with pytest.raises(ValueError, match="late"):
         reorder.reorder_stream(spark.createDataFrame([], "device_id string, seq long, ts timestamp, late boolean"), 1000)

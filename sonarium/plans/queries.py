@@ -202,9 +202,15 @@ def balance(spark: Spark, d: str) -> DataFrame:
 
 def balanced_windows(spark: Spark, d: str) -> DataFrame:
     """Flagship: balance the windows, then count them per label and pool."""
-    return balance(spark, d).groupBy("label", "noise_pool").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.sum("chunk_start").alias("sum_start")
-    )
+    return window_totals(balance(spark, d))
+
+
+def window_totals(windows: DataFrame) -> DataFrame:
+    """``label, noise_pool, n_windows, sum_start``. The sum is a bigint, or, where one of them does not fit that, a decimal."""
+    total = F.sum(F.col("chunk_start").cast("decimal(19,0)")).cast("decimal(38,0)")
+    counts = materialize(windows.groupBy("label", "noise_pool").agg(F.count(F.lit(1)).alias("n_windows"), total.alias("sum_start")), "totals")
+    wide = counts.where(~F.col("sum_start").between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")))
+    return counts if not wide.isEmpty() else counts.withColumn("sum_start", F.col("sum_start").cast("bigint"))
 
 
 def background_shortfall(spark: Spark, d: str) -> DataFrame:

@@ -150,3 +150,12 @@ def test_fingerprint_ignores_order(spark):
     b = metrics.dataset_fingerprint(df.orderBy(F.desc("id")).repartition(5), ["id", "x"]).first()
     c = metrics.dataset_fingerprint(df.withColumn("x", F.coalesce("x", F.lit(0))), ["id", "x"]).first()
     assert a == b and a != c
+
+
+def test_window_totals_beyond_a_bigint(spark):
+    from sonarium.plans.queries import window_totals
+
+    rows = spark.createDataFrame([("bell", None, 2**62)] * 3 + [("background", "error", 5)], "label string, noise_pool string, chunk_start long")
+    got = {(r.label, r.noise_pool): (r.n_windows, int(r.sum_start)) for r in window_totals(rows).collect()}
+    assert got == {("bell", None): (3, 3 * 2**62), ("background", "error"): (1, 5)}
+    assert window_totals(rows.where("chunk_start = 5")).schema["sum_start"].dataType.typeName() == "long"

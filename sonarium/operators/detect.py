@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from sonarium.functions import pcm as kernels
 from sonarium.functions.signal import correlation_at
 from sonarium.operators.cooldown import cooldown
-from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_energy, rolling_list
+from sonarium.operators.ordered import SEGMENT, overlapping_segments, rolling_energy, rolling_list, squared
 from sonarium.schemas import SAMPLE_RATE
 
 INT16_SCALE = 32768.0
@@ -86,21 +86,23 @@ def best_template_series(df: DataFrame, key: str, order: str, value: str, templa
     return best.select(key, F.col("_best.score").alias("score"), (-F.col("_best._order")).alias("template"))
 
 
-def energetic_series(df: DataFrame, key: str, order: str, value: str, n: int, width: int = 65536) -> DataFrame:
+def energetic_series(df: DataFrame, key: str, order: str, value: str, n: int, width: int = 65536,
+                     digits: int | None = None) -> DataFrame:
     """First most energetic run of ``n`` values per key (``order`` counts from 1), 0-based bounds.
 
-    A series of at most ``n`` values passes through whole.
+    A series of at most ``n`` values passes through whole. ``digits`` makes energies exact sums of squares rounded to so
+    many decimals, so that of equal runs the first is taken (see :func:`rolling_energy`).
     """
-    scored = rolling_energy(df, [key], order, value, n, "_energy", width)
+    scored = rolling_energy(df, [key], order, value, n, "_energy", width, digits)
     best = F.max_by(F.struct(order, "_energy"), F.when(F.col("_energy").isNotNull(), F.struct(F.col("_energy"), -F.col(order))))
-    total = F.sum(F.col(value).cast("double") * F.col(value).cast("double"))
+    total = F.sum(squared(value, digits))
     rows = scored.groupBy(key).agg(best.alias("_best"), F.count(F.lit(1)).alias("_len"), total.alias("_total"))
     short = F.col("_len") <= n
     return rows.select(
         key,
         F.when(short, F.lit(0)).otherwise(F.col(f"_best.{order}") - 1).cast("bigint").alias("start"),
         F.when(short, F.col("_len")).otherwise(F.col(f"_best.{order}") - 1 + n).cast("bigint").alias("stop"),
-        F.when(short, F.col("_total")).otherwise(F.col("_best._energy")).alias("energy"),
+        F.when(short, F.col("_total").cast("double")).otherwise(F.col("_best._energy").cast("double")).alias("energy"),
     )
 
 

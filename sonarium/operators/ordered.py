@@ -159,13 +159,23 @@ def rolling_context(df: DataFrame, keys: Sequence[str], order: str, value: str,
     return rolling_list(df, keys, order, value, max(1, round(window_s / chunk_s)), name, width)
 
 
+def squared(value: str, digits: int | None = None) -> Column:
+    """The square as a double, or rounded to ``digits`` decimals as a decimal."""
+    square = F.col(value).cast("double") * F.col(value).cast("double")
+    return square if digits is None else square.cast(f"decimal(28,{digits})")
+
+
 def rolling_energy(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int,
-                   name: str = "energy", width: int = 65536) -> DataFrame:
-    """Energy of the ``n`` values that start at each row; rows with a shorter tail give NULL."""
+                   name: str = "energy", width: int = 65536, digits: int | None = None) -> DataFrame:
+    """Energy of the ``n`` values that start at each row; rows with a shorter tail give NULL.
+
+    With ``digits`` squares are rounded to so many decimals and added exactly, as decimals, so runs of equal energy are
+    equal wherever they stand; without, sums are doubles, whose last digits depend on what stands before.
+    """
     width = max(width, n)
     spread = overlapping_segments(df, order, width, after=n - 1)
     ordered = _local(keys, [order])
-    square = F.col(value).cast("double") * F.col(value).cast("double")
+    square = squared(value, digits)
     # difference of running sums: the cost per row does not depend on n
     running = spread.withColumn("_square", square).withColumn(
         "_upto", F.sum("_square").over(ordered.rowsBetween(Window.unboundedPreceding, 0))

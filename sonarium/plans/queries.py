@@ -522,7 +522,7 @@ def attach_features(spark: Spark, d: str) -> DataFrame:
 
 
 def energetic_window(spark: Spark, d: str) -> DataFrame:
-    out = detect.energetic_series(c.numbered_events(spark, d), "user_id", "seq", "value", 8)
+    out = detect.energetic_series(c.numbered_events(spark, d), "user_id", "seq", "value", 8, digits=6)
     return out.select("user_id", "start", "stop", _round("energy", 4, "energy"))
 
 

@@ -126,3 +126,17 @@ def test_votes_staleness_and_uncertain(spark):
     assert all(r.detected for r in detect.k_of_n_vote(df, "clip", F.col("p") > 0.5).collect())
     assert [r.clip for r in detect.stale_devices(df, "clip", "t", F.lit(100), 30).collect()] == ["b"]
     assert [r.p for r in detect.uncertain_rows(df, "p").collect()] == [0.45]
+
+
+def test_first_of_equally_energetic_runs(spark):
+    """Runs of the same values in another order, behind loud ones that leave no digits for them in a double's sum."""
+    values = [1e6 + 0.1] * 3 + [0.0] * 40 + [1e6 + 0.3, 300.7, 12.34, 0.01] * 50
+    rows = [(1, i + 1, v) for i, v in enumerate(values)]
+    row = detect.energetic_series(spark.createDataFrame(rows, "k long, seq long, v double"), "k", "seq", "v", 4, digits=6).first()
+    squares = [round(v * v * 10**6) for v in values]
+    sums = [sum(squares[i : i + 4]) for i in range(len(values) - 3)]
+    assert (row.start, row.stop) == (sums.index(max(sums)), sums.index(max(sums)) + 4)
+    again = [(1, i + 1, v) for i, v in enumerate([7e7, 0.0, 0.0, 0.0] + [41.17, 0.3, 17.29, 490.02] * 400)]
+    frame = spark.createDataFrame(again, "k long, seq long, v double").where("seq > 1").withColumn("seq", F.col("seq") - 1)
+    row = detect.energetic_series(frame, "k", "seq", "v", 4, digits=6).first()
+    assert (row.start, row.stop) == (3, 7)

@@ -11,18 +11,28 @@ from pyspark.sql import types as T
 from sonarium.functions import pcm as kernels
 from sonarium.schemas import HOP_LENGTH, N_FFT, N_MFCC, SAMPLE_RATE
 
+#: Samples or features that a Python worker hands over at once, and their rows, whatever an Arrow batch holds.
+FRAME_BYTES = 4 << 20
+FRAME_ROWS = 500
 MATRIX = T.ArrayType(T.ArrayType(T.FloatType()))
 MATRIX64 = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
 def _per_row(df: DataFrame, samples: str, name: str, kind: T.DataType, make) -> DataFrame:
-    """Replace the sample column by ``make(samples, rate)``, one Arrow batch at a time."""
+    """Replace the sample column by ``make(samples, rate)``, some rows of an Arrow batch at a time."""
     schema = T.StructType([f for f in df.schema.fields if f.name != samples] + [T.StructField(name, kind)])
 
     def run(batches):
         for batch in batches:
-            values = [make(np.asarray(s, dtype=np.float64), r) for s, r in zip(batch[samples], batch["rate"])]
-            yield batch.drop(columns=[samples]).assign(**{name: pd.Series(values, index=batch.index, dtype=object)})
+            others, begun, values, held = batch.drop(columns=[samples]), 0, [], 0
+            for at, (s, r) in enumerate(zip(batch[samples], batch["rate"]), 1):
+                made = make(np.asarray(s, dtype=np.float64), r)
+                values.append(made)
+                held += sum(row.nbytes for row in made) if isinstance(made, list) else made.nbytes
+                if held >= FRAME_BYTES or len(values) >= FRAME_ROWS or at == len(batch):
+                    part = others.iloc[begun:at]
+                    yield part.assign(**{name: pd.Series(values, index=part.index, dtype=object)})
+                    begun, values, held = at, [], 0
 
     return df.mapInPandas(run, schema)
 

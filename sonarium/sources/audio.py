@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarium.functions import pcm as kernels
-from sonarium.operators.features import resample
+from sonarium.operators.features import FRAME_BYTES, FRAME_ROWS, resample
 from sonarium.schemas import AUDIO, AUDIO_INFO, SAMPLE_RATE
 from sonarium.sources import folders
 
@@ -26,9 +26,16 @@ def decode_wavs(files: DataFrame, whole_numbers: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            rows, held = [], 0
             for path, content in zip(batch["path"], batch["content"]):
                 rate, samples = kernels.read_wav(content, whole_numbers)
-                yield pd.DataFrame({"path": [path], "rate": [rate], "frames": [len(samples)], "samples": [samples]})
+                rows.append((path, rate, len(samples), samples))
+                held += samples.nbytes
+                if held >= FRAME_BYTES or len(rows) >= FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=AUDIO.names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=AUDIO.names)
 
     return files.select("path", "content").mapInPandas(run, AUDIO)
 

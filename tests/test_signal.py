@@ -269,3 +269,35 @@ def test_feature_tables(spark, tmp_path):
     sinks.write_metrics_json(spark.createDataFrame([(1, None)], "n int, ratio double"), str(tmp_path / "m"))
     text = next((tmp_path / "m").glob("*.json")).read_text()
     assert text.strip() == '{"n":1,"ratio":null}'
+
+
+class _Batch:
+    """One Arrow batch in place of a DataFrame: what a Python worker hands over for it."""
+
+    def __init__(self, batch, schema=None):
+        self.batch, self.schema = batch, schema
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, run, _):
+        return list(run(iter([self.batch])))
+
+
+def test_workers_hand_over_frames_of_some_rows():
+    """Neither a frame for every recording nor one for a whole Arrow batch."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from sonarium.operators import features
+
+    wavs = pd.DataFrame({"path": [str(i) for i in range(1_200)], "content": [kernels.write_wav(b"\1\0" * (i + 1)) for i in range(1_200)]})
+    frames = audio.decode_wavs(_Batch(wavs))
+    assert [len(f) for f in frames] == [500, 500, 200]
+    back = pd.concat(frames)
+    assert list(back["frames"]) == list(range(1, 1_201)) and [len(s) for s in back["samples"]] == list(back["frames"])
+    rows = pd.DataFrame({"path": wavs["path"], "samples": [np.ones(4_000)] * 1_200, "rate": 16_000})
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("samples", T.ArrayType(T.DoubleType())), T.StructField("rate", T.IntegerType())])
+    frames = features.power_spectrum(_Batch(rows, schema), 32, 8)
+    sizes = [sum(row.nbytes for made in f["power"] for row in made) for f in frames]
+    assert max(sizes) < 2 * features.FRAME_BYTES and list(pd.concat(frames)["path"]) == list(rows["path"])

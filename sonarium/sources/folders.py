@@ -14,6 +14,7 @@ import os
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -27,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 #: Content of a task, and of a batch of rows.
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+#: Tasks that small members are dealt to at most: beyond, shares grow up to PARTITION_BYTES before there are more.
+SHARES = 256
 #: Files of a task that only reads headers.
 HEADERS = 2_000
 RENAMES = 16
@@ -126,8 +129,41 @@ class AudioHeaders(DataSource):
 # ------------------------------------------------------------------------------------ archives
 
 
+@dataclass
+class Member:
+    """Where a member of an archive lies, as the archive's directory says."""
+
+    archive: str
+    name: str
+    size: int
+    offset: int
+    packed: int
+    method: int
+    crc: int
+    flags: int
+
+
+def read_member(file, member: Member) -> bytes:
+    """The content of a stored or deflated member, from its own bytes alone; other kinds go by the whole directory."""
+    if member.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) or member.flags & 1:
+        with zipfile.ZipFile(file) as archive:
+            return archive.read(member.name)
+    file.seek(member.offset)
+    head = file.read(30)
+    if head[:4] != b"PK\3\4":
+        raise zipfile.BadZipFile(f"no member at the place of {member.name!r}")
+    file.seek(member.offset + 30 + sum(struct.unpack("<HH", head[26:30])))
+    content = file.read(member.packed)
+    if member.method == zipfile.ZIP_DEFLATED:
+        content = zlib.decompress(content, -zlib.MAX_WBITS)
+    if len(content) != member.size or zlib.crc32(content) != member.crc:
+        raise zipfile.BadZipFile(f"bad content of {member.name!r}")
+    return content
+
+
 class MemberReader(DataSourceReader):
-    """Members of zip archives, dealt to tasks by size: several tasks may read one archive."""
+    """Members of zip archives, dealt to tasks by size: several tasks may read one archive. Its directory is read once, by
+    the plan; a task reads the bytes of its members only."""
 
     def __init__(self, paths: list[str], suffix: str, most: int):
         self.paths, self.suffix, self.most = paths, suffix, most
@@ -137,22 +173,26 @@ class MemberReader(DataSourceReader):
         for path, _ in listed(self.paths, "*.zip"):
             system, place = locate(path)
             with system.open_input_file(place) as file, zipfile.ZipFile(file) as archive:
-                members += [(path, m.filename, m.file_size) for m in archive.infolist() if m.filename.endswith(self.suffix) and not m.is_dir()]
-        return [Share(run) for run in _packed(members, lambda m: m[2], self.most)] or [Share([])]
+                members += [
+                    Member(path, m.filename, m.file_size, m.header_offset, m.compress_size, m.compress_type, m.CRC, m.flag_bits)
+                    for m in archive.infolist() if m.filename.endswith(self.suffix) and not m.is_dir()
+                ]
+        most = max(self.most, min(PARTITION_BYTES, sum(m.size for m in members) // SHARES))
+        return [Share(run) for run in _packed(members, lambda m: m.size, most)] or [Share([])]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        for run in _packed(partition.items, lambda m: m[2], BATCH_BYTES):
-            contents, open_ = [], None
-            for path, member, _ in run:
-                if open_ is None or open_[0] != path:
-                    if open_:
-                        open_[1].close()
-                    system, place = locate(path)
-                    open_ = path, zipfile.ZipFile(system.open_input_file(place))
-                contents.append(open_[1].read(member))
-            open_[1].close()
+        for run in _packed(partition.items, lambda m: m.size, BATCH_BYTES):
+            contents, opened, file = [], None, None
+            for member in run:
+                if opened != member.archive:
+                    if file:
+                        file.close()
+                    system, place = locate(member.archive)
+                    opened, file = member.archive, system.open_input_file(place)
+                contents.append(read_member(file, member))
+            file.close()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m[0] for m in run]), pa.array([m[1] for m in run]), pa.array(contents, pa.binary())], names=["archive", "path", "content"]
+                [pa.array([m.archive for m in run]), pa.array([m.name for m in run]), pa.array(contents, pa.binary())], names=["archive", "path", "content"]
             )
 
 

@@ -106,3 +106,24 @@ def test_wavs_and_copies(spark, tmp_path):
     plan = spark.createDataFrame([("y.wav", "fetch"), ("x.wav", "keep")], "audio_file_name string, action string")
     copied = sinks.copy_missing(plan, audio.list_files(spark, str(tmp_path / "w")), str(tmp_path / "c")).collect()
     assert [os.path.basename(r.path) for r in copied] == ["y.wav"] == seen(tmp_path / "c") and copied[0].bytes == 1044
+
+
+def test_member_is_read_without_the_directory():
+    """A task takes the bytes of its member only, however many others the archive has."""
+    names = [f"{i}.wav" for i in range(2_000)]
+    content = folders.zipped(names, [bytes([i % 251]) * (i + 1) for i in range(2_000)])
+    with folders.zipfile.ZipFile(io.BytesIO(content)) as archive:
+        m = archive.getinfo("1234.wav")
+    member = folders.Member("a.zip", m.filename, m.file_size, m.header_offset, m.compress_size, m.compress_type, m.CRC, m.flag_bits)
+    file = Counting(content)
+    assert folders.read_member(file, member) == bytes([1234 % 251]) * 1235
+    assert file.taken == 30 + m.compress_size
+    with pytest.raises(folders.zipfile.BadZipFile):
+        folders.read_member(io.BytesIO(content), folders.Member(**{**vars(member), "crc": 1}))
+
+
+def test_small_members_make_a_bounded_number_of_tasks(tmp_path):
+    names = [f"{i}.wav" for i in range(5_000)]
+    (tmp_path / "a.zip").write_bytes(folders.zipped(names, [b"x" * 100] * 5_000))
+    shares = folders.MemberReader([str(tmp_path)], ".wav", 200).partitions()
+    assert len(shares) <= folders.SHARES + 1 and [m.name for s in shares for m in s.items] == names

@@ -340,6 +340,24 @@ def test_near_lines_are_found_without_the_hash_condition(spark):
     assert n > 5 and recall >= 0.95
 
 
+def test_lines_with_letters_changed_in_every_fifth_word_are_found(spark):
+    lines = [words(n, 70 * n + k) for n in (12, 30, 90) for k in range(15)]
+    copies = [[w[:2] + "z" + w[3:] if p % 5 == 2 else w for p, w in enumerate(line)] for line in lines]
+    n, recall = linked_recall(spark, docs(spark, [" ".join(w) for pair in zip(lines, copies) for w in pair]))
+    assert n == 45 and recall >= 0.95
+
+
+def test_line_dedup_leaves_only_what_its_result_reads(spark, monkeypatch, tmp_path):
+    folders = iter(range(1_000))
+    for module in ("sonarium.session", "sonarium.llm.line_dedup"):
+        monkeypatch.setattr(f"{module}.work_dir", lambda spark, name: f"{tmp_path}/{name}-{next(folders)}")
+    line = words(20, 9)
+    got = line_dedup.line_dedup(docs(spark, [" ".join(line), " ".join(line[1:]), " ".join(line[:-1]), "a b"])).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0, 1, 1]
+    left = {f.name.split("-")[0] for f in tmp_path.iterdir()}
+    assert "gone" in left and not left & {"occurrences", "crowded", "entries", "texts", "verdicts"}
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.line_dedup(docs(spark, ["a b c\nd", "A b c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
